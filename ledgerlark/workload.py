@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.operators import spend
+from ledgerlark.operators import revenue, spend
 from ledgerlark.sources.standin import standin
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,41 @@ def _monthly_spend_vs_revenue(spark, sf_dir):
     )
 
 
+def _margin_by_category(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.margin_by_category(t.product, t.productsubcategory, t.productcategory)
+
+
+def _territory_growth(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.territory_growth(t.salesorderheader, t.salesterritory)
+
+
+def _territory_yoy_variance(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.territory_yoy_variance(t.salesterritory)
+
+
+def _salesperson_attainment(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.salesperson_attainment(t.salesperson, t.employee, t.person, t.salesterritory)
+
+
+def _promotion_impact(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.promotion_impact(t.specialoffer, t.salesorderdetail)
+
+
 QUERIES: dict[str, QueryFn] = {
     "vendor_spend_ranked": _vendor_spend_ranked,
     "vendor_pareto": _vendor_pareto,
     "po_status_breakdown": _po_status_breakdown,
     "monthly_spend_vs_revenue": _monthly_spend_vs_revenue,
+    "margin_by_category": _margin_by_category,
+    "territory_growth": _territory_growth,
+    "territory_yoy_variance": _territory_yoy_variance,
+    "salesperson_attainment": _salesperson_attainment,
+    "promotion_impact": _promotion_impact,
 }
 
 
