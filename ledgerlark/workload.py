@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.operators import revenue, spend
+from ledgerlark.operators import anomaly, iforest, revenue, spend
+from ledgerlark.session import checkpoint
 from ledgerlark.sources.standin import standin
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,162 @@ def _promotion_impact(spark, sf_dir):
     return revenue.promotion_impact(t.specialoffer, t.salesorderdetail)
 
 
+# ---- anomaly detection ---------------------------------------------------------
+
+LINE_KEY = ["purchaseorderid", "vendorid", "purchaseorderdetailid", "productid"]
+LINE_ID_COLS = ["purchaseorderid", "purchaseorderdetailid", "vendorid", "productid"]
+
+
+def _line_base(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return anomaly.po_line_base(
+        t.purchaseorderheader, t.purchaseorderdetail, t.vendor, t.product,
+        t.productsubcategory, t.productcategory, po_key=t.po_key,
+    )
+
+
+def _featured(spark, sf_dir):
+    return anomaly.line_features(anomaly.group_price_stats(_line_base(spark, sf_dir)))
+
+
+def _detect(featured, model, contamination=anomaly.CONTAMINATION):
+    """Score -> checkpoint -> contamination threshold -> flags -> labels."""
+    scored = checkpoint(iforest.iforest_score(featured, model))
+    return anomaly.anomaly_label(anomaly.contamination_flag(scored, "anomaly_raw", contamination))
+
+
+_MODELS: dict = {}
+
+
+def _fitted_model(spark, sf_dir, featured_ckpt):
+    """Fit once per session and input directory (the fit is deterministic)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = iforest.iforest_fit(featured_ckpt, anomaly.FEATURES, row_key=LINE_KEY)
+    return _MODELS[key]
+
+
+def _labelled_fixed(spark, sf_dir):
+    return _detect(_featured(spark, sf_dir), iforest.fixed_forest(anomaly.FEATURES))
+
+
+def _labelled_iforest(spark, sf_dir):
+    featured = checkpoint(_featured(spark, sf_dir))
+    return _detect(featured, _fitted_model(spark, sf_dir, featured))
+
+
+def _price_deviation_flags(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return anomaly.price_deviation_flags(
+        t.purchaseorderheader, t.purchaseorderdetail, t.vendor, t.product,
+        t.productsubcategory, t.productcategory, po_key=t.po_key,
+    )
+
+
+def _price_deviation_flags_by_subcategory(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return anomaly.price_deviation_flags(
+        t.purchaseorderheader, t.purchaseorderdetail, t.vendor, t.product,
+        t.productsubcategory, t.productcategory, po_key=t.po_key,
+        group_keys=("vendorid", "subcategory"),
+    )
+
+
+def _po_line_base(spark, sf_dir):
+    return anomaly.as_report(_line_base(spark, sf_dir))
+
+
+def _group_price_stats(spark, sf_dir):
+    df = anomaly.group_price_stats(_line_base(spark, sf_dir))
+    return anomaly.as_report(
+        df.select(*LINE_ID_COLS, "unitprice", "vp_avg_price", "vp_std_price", "vp_count"),
+        round_features=6,
+    )
+
+
+def _line_features(spark, sf_dir):
+    df = _featured(spark, sf_dir)
+    return anomaly.as_report(
+        df.select(*LINE_ID_COLS, "price_deviation", *anomaly.FEATURES), round_features=6
+    )
+
+
+def _standardize(spark, sf_dir):
+    df = anomaly.standardize(_featured(spark, sf_dir), anomaly.FEATURES)
+    return anomaly.as_report(
+        df.select(*LINE_ID_COLS, *[f"{c}_scaled" for c in anomaly.FEATURES]), round_features=6
+    )
+
+
+def _iforest_model(spark, sf_dir):
+    featured = checkpoint(_featured(spark, sf_dir))
+    return _fitted_model(spark, sf_dir, featured).to_dataframe(spark)
+
+
+def _iforest_scores(spark, sf_dir):
+    featured = checkpoint(_featured(spark, sf_dir))
+    model = _fitted_model(spark, sf_dir, featured)
+    return anomaly.as_report(
+        iforest.iforest_score(featured, model).select(*LINE_ID_COLS, "anomaly_raw"),
+        round_features=6,
+    )
+
+
+def _fixed_forest_scores(spark, sf_dir):
+    model = iforest.fixed_forest(anomaly.FEATURES)
+    return anomaly.as_report(
+        iforest.iforest_score(_featured(spark, sf_dir), model).select(*LINE_ID_COLS, "anomaly_raw"),
+        round_features=6,
+    )
+
+
+def _contamination_flag(spark, sf_dir):
+    df = _labelled_fixed(spark, sf_dir)
+    return anomaly.as_report(
+        df.select(*LINE_ID_COLS, "anomaly_raw", "is_anomaly", "anomaly_score"), round_features=6
+    )
+
+
+def _anomaly_label(spark, sf_dir):
+    df = _labelled_fixed(spark, sf_dir)
+    return anomaly.as_report(
+        df.select(*LINE_ID_COLS, "is_anomaly", "z_score", "rejection_rate", "anomaly_flag"),
+        round_features=6,
+    )
+
+
+def _anomaly_report(spark, sf_dir):
+    return anomaly.as_report(anomaly.anomaly_report(_labelled_fixed(spark, sf_dir)), round_features=6)
+
+
+def _anomaly_summary(spark, sf_dir):
+    return anomaly.anomaly_summary(_labelled_fixed(spark, sf_dir))
+
+
+def _anomaly_breakdown(spark, sf_dir):
+    return anomaly.anomaly_breakdown(_labelled_fixed(spark, sf_dir))
+
+
+def _pipeline_metrics(spark, sf_dir):
+    return anomaly.pipeline_metrics(_labelled_fixed(spark, sf_dir))
+
+
+def _anomaly_report_iforest(spark, sf_dir):
+    return anomaly.as_report(anomaly.anomaly_report(_labelled_iforest(spark, sf_dir)))
+
+
+def _anomaly_summary_iforest(spark, sf_dir):
+    return anomaly.anomaly_summary(_labelled_iforest(spark, sf_dir))
+
+
+def _anomaly_breakdown_iforest(spark, sf_dir):
+    return anomaly.anomaly_breakdown(_labelled_iforest(spark, sf_dir))
+
+
+def _pipeline_metrics_iforest(spark, sf_dir):
+    return anomaly.pipeline_metrics(_labelled_iforest(spark, sf_dir))
+
+
 QUERIES: dict[str, QueryFn] = {
     "vendor_spend_ranked": _vendor_spend_ranked,
     "vendor_pareto": _vendor_pareto,
@@ -78,6 +235,25 @@ QUERIES: dict[str, QueryFn] = {
     "territory_yoy_variance": _territory_yoy_variance,
     "salesperson_attainment": _salesperson_attainment,
     "promotion_impact": _promotion_impact,
+    "price_deviation_flags": _price_deviation_flags,
+    "price_deviation_flags_by_subcategory": _price_deviation_flags_by_subcategory,
+    "po_line_base": _po_line_base,
+    "group_price_stats": _group_price_stats,
+    "line_features": _line_features,
+    "standardize": _standardize,
+    "iforest_model": _iforest_model,
+    "iforest_scores": _iforest_scores,
+    "fixed_forest_scores": _fixed_forest_scores,
+    "contamination_flag": _contamination_flag,
+    "anomaly_label": _anomaly_label,
+    "anomaly_report": _anomaly_report,
+    "anomaly_summary": _anomaly_summary,
+    "anomaly_breakdown": _anomaly_breakdown,
+    "pipeline_metrics": _pipeline_metrics,
+    "anomaly_report_iforest": _anomaly_report_iforest,
+    "anomaly_summary_iforest": _anomaly_summary_iforest,
+    "anomaly_breakdown_iforest": _anomaly_breakdown_iforest,
+    "pipeline_metrics_iforest": _pipeline_metrics_iforest,
 }
 
 
