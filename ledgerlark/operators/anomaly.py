@@ -84,8 +84,18 @@ def price_deviation_flags(
     """
     lines = _wide_lines(poh, pod, vendor, product, subcategory, category, po_key)
     keys = list(group_keys)
+    # statistics come from header x detail only, as in the original query: the
+    # dimension joins are needed for the report columns, not for the groups
+    base = po_lines(poh, pod, po_key)
+    if "subcategory" in keys:
+        sub = product.select("productid", "productsubcategoryid").join(
+            subcategory.select("productsubcategoryid", F.col("name").alias("subcategory")),
+            "productsubcategoryid",
+            "left",
+        )
+        base = base.join(sub.drop("productsubcategoryid"), "productid", "left")
     stats = (
-        lines.groupBy(*keys)
+        base.groupBy(*keys)
         .agg(
             F.round(exact_avg("unitprice"), 4).alias("vendor_avg"),
             round_ratio(F.stddev_samp("unitprice"), 4).alias("stddev_unit_price"),

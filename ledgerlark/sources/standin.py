@@ -64,9 +64,12 @@ class StandInTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     # ---- purchasing --------------------------------------------------------------
     @cached_property
@@ -290,5 +293,13 @@ class StandInTables:
             getattr(self, name).createOrReplaceTempView(name)
 
 
+_CACHE: dict = {}
+
+
 def standin(spark: SparkSession, sf_dir: str) -> StandInTables:
-    return StandInTables(spark, sf_dir)
+    """Stand-in tables for a directory, shared by all queries of one session (the
+    DataFrames are immutable; sharing them saves re-reading parquet footers)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = StandInTables(spark, sf_dir)
+    return _CACHE[key]
