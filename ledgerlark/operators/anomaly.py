@@ -3,7 +3,7 @@
 Two detectors share one wide purchase-line table (``po_line_base``):
   * ``price_deviation_flags``: z-score of the paid unit price inside its
     (vendor, product) group, |z| > 2 flagged;
-  * the isolation-forest pipeline: group price statistics -> line features ->
+  * the isolation-forest chain: group price statistics -> line features ->
     forest score (``ledgerlark.operators.iforest``) -> contamination threshold ->
     labels -> per-line report, per-vendor summary, label breakdown, run metrics.
 
@@ -360,7 +360,7 @@ def anomaly_breakdown(labelled: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_metrics(labelled: DataFrame) -> DataFrame:
+def run_metrics(labelled: DataFrame) -> DataFrame:
     """One row of run statistics: lines, deviation and z ranges, flagged count / share."""
     n = F.count(F.lit(1))
     flagged = F.sum(F.col("is_anomaly").cast("long"))

@@ -65,3 +65,28 @@ def read_logical_jdbc(
         else:
             out[t] = spark.read.jdbc(url, t, properties=props)
     return out
+
+
+class LogicalTables:
+    """The 13 logical tables under their short names (``vendor``, ``product`` ...),
+    from a ``{schema.table: DataFrame}`` mapping (parquet directory or JDBC)."""
+
+    po_key = ("purchaseorderid",)
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        for qualified, df in tables.items():
+            setattr(self, qualified.split(".", 1)[1], df)
+        self.salesorderheader_untagged = getattr(self, "salesorderheader", None)
+
+    @classmethod
+    def from_parquet(cls, spark: SparkSession, base_dir: str) -> "LogicalTables":
+        return cls(read_logical_parquet(spark, base_dir))
+
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, **kw) -> "LogicalTables":
+        return cls(read_logical_jdbc(spark, url, **kw))
+
+    def register_views(self) -> None:
+        """Expose the tables to ``spark.sql`` under their short names."""
+        for name in (t.split(".", 1)[1] for t in LOGICAL_TABLES):
+            getattr(self, name).createOrReplaceTempView(name)

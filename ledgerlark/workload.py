@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark import reports
 from ledgerlark.operators import anomaly, iforest, revenue, spend
 from ledgerlark.session import checkpoint
 from ledgerlark.sources.standin import standin
@@ -71,26 +72,18 @@ def _promotion_impact(spark, sf_dir):
 
 # ---- anomaly detection ---------------------------------------------------------
 
-LINE_KEY = ["purchaseorderid", "vendorid", "purchaseorderdetailid", "productid"]
 LINE_ID_COLS = ["purchaseorderid", "purchaseorderdetailid", "vendorid", "productid"]
 
 
 def _line_base(spark, sf_dir):
-    t = standin(spark, sf_dir)
-    return anomaly.po_line_base(
-        t.purchaseorderheader, t.purchaseorderdetail, t.vendor, t.product,
-        t.productsubcategory, t.productcategory, po_key=t.po_key,
-    )
+    return reports.line_base(standin(spark, sf_dir))
 
 
 def _featured(spark, sf_dir):
-    return anomaly.line_features(anomaly.group_price_stats(_line_base(spark, sf_dir)))
+    return reports.featured_lines(standin(spark, sf_dir))
 
 
-def _detect(featured, model, contamination=anomaly.CONTAMINATION):
-    """Score -> checkpoint -> contamination threshold -> flags -> labels."""
-    scored = checkpoint(iforest.iforest_score(featured, model))
-    return anomaly.anomaly_label(anomaly.contamination_flag(scored, "anomaly_raw", contamination))
+_detect = reports.detect
 
 
 _MODELS: dict = {}
@@ -100,7 +93,7 @@ def _fitted_model(spark, sf_dir, featured_ckpt):
     """Fit once per session and input directory (the fit is deterministic)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = iforest.iforest_fit(featured_ckpt, anomaly.FEATURES, row_key=LINE_KEY)
+        _MODELS[key] = reports.fit_forest(featured_ckpt)
     return _MODELS[key]
 
 
@@ -205,8 +198,8 @@ def _anomaly_breakdown(spark, sf_dir):
     return anomaly.anomaly_breakdown(_labelled_fixed(spark, sf_dir))
 
 
-def _pipeline_metrics(spark, sf_dir):
-    return anomaly.pipeline_metrics(_labelled_fixed(spark, sf_dir))
+def _run_metrics(spark, sf_dir):
+    return anomaly.run_metrics(_labelled_fixed(spark, sf_dir))
 
 
 def _anomaly_report_iforest(spark, sf_dir):
@@ -221,8 +214,8 @@ def _anomaly_breakdown_iforest(spark, sf_dir):
     return anomaly.anomaly_breakdown(_labelled_iforest(spark, sf_dir))
 
 
-def _pipeline_metrics_iforest(spark, sf_dir):
-    return anomaly.pipeline_metrics(_labelled_iforest(spark, sf_dir))
+def _run_metrics_iforest(spark, sf_dir):
+    return anomaly.run_metrics(_labelled_iforest(spark, sf_dir))
 
 
 QUERIES: dict[str, QueryFn] = {
@@ -249,11 +242,11 @@ QUERIES: dict[str, QueryFn] = {
     "anomaly_report": _anomaly_report,
     "anomaly_summary": _anomaly_summary,
     "anomaly_breakdown": _anomaly_breakdown,
-    "pipeline_metrics": _pipeline_metrics,
+    "run_metrics": _run_metrics,
     "anomaly_report_iforest": _anomaly_report_iforest,
     "anomaly_summary_iforest": _anomaly_summary_iforest,
     "anomaly_breakdown_iforest": _anomaly_breakdown_iforest,
-    "pipeline_metrics_iforest": _pipeline_metrics_iforest,
+    "run_metrics_iforest": _run_metrics_iforest,
 }
 
 

@@ -57,7 +57,7 @@ def test_every_query_has_oracle_or_is_forest_based():
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
     assert rows_only == {
         "iforest_model", "iforest_scores", "anomaly_report_iforest",
-        "anomaly_summary_iforest", "anomaly_breakdown_iforest", "pipeline_metrics_iforest",
+        "anomaly_summary_iforest", "anomaly_breakdown_iforest", "run_metrics_iforest",
     }
 
 
