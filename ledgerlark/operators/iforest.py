@@ -116,50 +116,80 @@ class IsolationForestModel:
         return out
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.nodes(), NODE_SCHEMA)
+        pdf = pd.DataFrame(self.nodes(), columns=[f.name for f in NODE_SCHEMA.fields])
+        return spark.createDataFrame(pdf, NODE_SCHEMA)
 
     def leaf_path(self) -> np.ndarray:
         """depth + c(size) for every node (used at leaves)."""
         return self.depth.astype(np.float64) + average_path_length(self.size)
 
     def arrays(self) -> dict:
+        """Trees in heap layout for scoring: node h has children 2h+1 and 2h+2.
+
+        Every tree is padded to a complete tree of depth ``max_depth``: below a
+        shallow leaf, virtual nodes always go left (threshold +inf) down to the last
+        level, where the leaf's path length (depth + c(size)) is stored.  Scoring is
+        then the same short loop for every row, with no leaf tests.
+        """
+        depth_limit = self.max_depth
+        slots = 2 ** (depth_limit + 1) - 1
+        feat = np.zeros((self.n_trees, slots), np.int64)
+        thr = np.full((self.n_trees, slots), np.inf)
+        leaf_value = np.zeros((self.n_trees, slots))
+        path = self.leaf_path()
+        for t in range(self.n_trees):
+            stack = [(0, 0, 0)]
+            while stack:
+                i, h, d = stack.pop()
+                f = int(self.feature[t, i])
+                if f >= 0:
+                    feat[t, h] = f
+                    thr[t, h] = self.threshold[t, i]
+                    stack.append((int(self.left[t, i]), 2 * h + 1, d + 1))
+                    stack.append((int(self.right[t, i]), 2 * h + 2, d + 1))
+                else:
+                    while d < depth_limit:
+                        h, d = 2 * h + 1, d + 1
+                    leaf_value[t, h] = path[t, i]
         return {
-            "feature": self.feature,
-            "threshold": self.threshold,
-            "left": self.left,
-            "right": self.right,
-            "leaf_path": self.leaf_path(),
-            "max_depth": self.max_depth,
+            "feature": feat,
+            "threshold": thr,
+            "leaf_value": leaf_value,
+            "depth": depth_limit,
             "c_psi": float(average_path_length([self.psi])[0]),
         }
 
 
 def score_matrix(x: np.ndarray, m: dict) -> np.ndarray:
-    """Anomaly scores for the rows of ``x`` (n x n_features) under model arrays ``m``."""
+    """Anomaly scores for the rows of ``x`` (n x n_features) under ``arrays()`` ``m``.
+
+    x must be NaN-free (features are filled with 0).  Per tree: ``depth`` rounds of
+    gather + compare + index arithmetic over the whole batch; path lengths are summed
+    tree by tree in a fixed order.
+    """
     n = x.shape[0]
     n_trees = m["feature"].shape[0]
+    xt = np.ascontiguousarray(x.T, dtype=np.float64).ravel()
+    col = np.arange(n, dtype=np.int64)
     total = np.zeros(n, dtype=np.float64)
-    rows = np.arange(n)
+    h = np.empty(n, dtype=np.int64)
     for t in range(n_trees):
-        feat, thr = m["feature"][t], m["threshold"][t]
-        left, right = m["left"][t], m["right"][t]
-        node = np.zeros(n, dtype=np.int64)
-        for _ in range(m["max_depth"]):
-            f = feat[node]
-            internal = f >= 0
-            if not internal.any():
-                break
-            xv = x[rows, np.where(internal, f, 0)]
-            nxt = np.where(xv <= thr[node], left[node], right[node])
-            node = np.where(internal, nxt, node)
-        total = total + m["leaf_path"][t][node]
+        feat_off = m["feature"][t] * n  # offset of each node's feature column in xt
+        thr = m["threshold"][t]
+        h.fill(0)
+        for _ in range(m["depth"]):
+            go_right = xt[feat_off[h] + col] > thr[h]
+            h *= 2
+            h += 1
+            h += go_right
+        total = total + m["leaf_value"][t][h]
     mean = total / n_trees
     return -np.power(2.0, -mean / m["c_psi"])
 
 
-def feature_matrix(df_or_cols) -> F.Column:
-    """Feature columns as doubles with NULL -> 0 (as the training matrix is built)."""
-    return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in df_or_cols]
+def feature_matrix(cols) -> list[F.Column]:
+    """Feature columns as doubles with NULL and NaN -> 0 (as the training matrix is built)."""
+    return [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols]
 
 
 def score_column(model: IsolationForestModel, spark: SparkSession | None = None) -> F.Column:
@@ -232,7 +262,7 @@ def iforest_fit(
     Reads ``df`` twice (count, sample): pass a checkpointed / file-backed DataFrame.
     """
     spark = df.sparkSession
-    fx = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)]
+    fx = [c.alias(f"_f{i}") for i, c in enumerate(feature_matrix(features))]
     row_hash = F.xxhash64(*[F.col(c) for c in row_key], F.lit(seed))
     x = df.select(*fx, row_hash.alias("_row_hash"))
     n = x.count()
