@@ -9,9 +9,11 @@ of the column in one task.  Here the exact answer is found in three short steps:
      for tiny inputs the bracket is the whole range;
   2. ``c_below`` = rows under ``lo``; the distinct values inside [lo, hi] with their
      counts (about ``2 * margin * n`` rows);
-  3. a running count over those candidates (distributed range-partitioned scan, see
-     ``plans.globalwin``) locates the order statistics at ranks k and k + 1, which
-     are interpolated linearly (numpy's default ``linear`` method).
+  3. a running count over those candidates locates the order statistics at ranks k
+     and k + 1, which are interpolated linearly (numpy's default ``linear`` method).
+     The candidate list has a proven size bound; up to ``SINGLE_TASK_ROWS`` it is
+     ordered by one window task, beyond that by the range-partitioned scan of
+     ``plans.globalwin``.
 
 Only scalars reach the driver.  The input is read three times: pass a checkpointed
 or file-backed DataFrame.
@@ -21,11 +23,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.plans.globalwin import rank_and_running_total
 
+# Largest candidate list ordered in a single task.
+SINGLE_TASK_ROWS = 2_000_000
+
 
 def quantile_value(
     df: DataFrame,
@@ -64,10 +69,20 @@ def quantile_value(
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    ranked = rank_and_running_total(
-        cand, "v", [], "cnt", descending=False, nulls_first=False,
-        rank_col=None, running_col="cum",
-    )
+    # rows inside the bracket: at most (2 * margin + 2 / accuracy) * n by the sketch's
+    # rank guarantee (plus 3 rows of rounding); a short list gets one ordered window,
+    # a long one the range-partitioned running count
+    bound = int(n * (2 * margin + 2.0 / accuracy)) + 3
+    if n * margin < 3 or q_lo == 0.0 or q_hi == 1.0:
+        bound = n
+    if bound <= SINGLE_TASK_ROWS:
+        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = cand.withColumn("cum", F.sum("cnt").over(w))
+    else:
+        ranked = rank_and_running_total(
+            cand, "v", [], "cnt", descending=False, nulls_first=False,
+            rank_col=None, running_col="cum",
+        )
     start = F.lit(c_below) + F.col("cum") - F.col("cnt")
     end = F.lit(c_below) + F.col("cum") - F.lit(1)
     hit = ranked.where(

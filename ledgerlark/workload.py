@@ -143,7 +143,8 @@ def _line_features(spark, sf_dir):
 
 
 def _standardize(spark, sf_dir):
-    df = anomaly.standardize(_featured(spark, sf_dir), anomaly.FEATURES)
+    # statistics and scaling both read the features: materialize them once
+    df = anomaly.standardize(checkpoint(_featured(spark, sf_dir)), anomaly.FEATURES)
     return anomaly.as_report(
         df.select(*LINE_ID_COLS, *[f"{c}_scaled" for c in anomaly.FEATURES]), round_features=6
     )
