@@ -117,3 +117,15 @@ def test_score_matrix_fixed_forest_closed_form():
     mean = ((2 + c[0]) + (2 + c[1]) + (1 + c[2])) / 3
     expected = -(2.0 ** (-mean / c[3]))
     assert iforest.score_matrix(x, model.arrays())[0] == pytest.approx(expected, rel=1e-15)
+
+
+def test_globalwin_plan_is_distributed(spark):
+    df = spark.range(2000).select(
+        "id", (F.col("id") % 7).cast("double").alias("k"), F.lit(1.0).alias("v")
+    )
+    out = rank_and_running_total(df, "k", ["id"], "v", num_partitions=8, rank_col="r", running_col="c")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert out.rdd.getNumPartitions() == 8
+    builtin = single_partition_rank_and_running_total(df, "k", ["id"], "v", rank_col="r", running_col="c")
+    assert "SinglePartition" in builtin._jdf.queryExecution().executedPlan().toString()
