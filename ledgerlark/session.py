@@ -36,8 +36,10 @@ def build_session(
         builder = builder.master(master)
     conf = dict(BASE_CONF)
     if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor
+        # local mode: the driver JVM is the only executor, and a broadcast hash table
+        # is built by one thread while a shuffle join uses every core
         conf["spark.driver.memory"] = "8g"
+        conf["spark.sql.autoBroadcastJoinThreshold"] = str(1 << 20)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
