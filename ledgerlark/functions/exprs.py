@@ -80,8 +80,8 @@ def exact_avg(c, scale: int = 12) -> Column:
 
 
 def month_start(ts) -> Column:
-    """DATE_TRUNC('month', ts)."""
-    return F.date_trunc("month", col(ts))
+    """DATE_TRUNC('month', ts) as a wall-clock timestamp (timestamp_ntz)."""
+    return F.date_trunc("month", col(ts)).cast("timestamp_ntz")
 
 
 def year_month(ts) -> Column:

@@ -9,7 +9,7 @@ Two detectors share one wide purchase-line table (``po_line_base``):
 
 Group statistics are an aggregate joined back to the lines (not a window): the
 aggregate is combined map-side, so a hot (vendor, product) group is never buffered
-in one task, and AQE splits the hot key on the join side.
+in one task, and the join back salts hot groups over many tasks (``plans.skew``).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ledgerlark.functions.exprs import (
 )
 from ledgerlark.functions.quantile import quantile_value
 from ledgerlark.operators.spend import DEFAULT_PO_KEY, po_lines
+from ledgerlark.plans.skew import join_group_stats, line_row_key
 
 # Feature order of the forest, label texts and rule thresholds.
 FEATURES = [
@@ -103,7 +104,7 @@ def price_deviation_flags(
         )
         .where(F.col("transaction_count") >= 2)
     )
-    j = lines.join(stats, keys, "left")
+    j = join_group_stats(lines, stats, keys, "transaction_count", line_row_key(lines))
     sd = F.col("stddev_unit_price")
     z = _z_expr(F.col("unitprice"), F.col("vendor_avg"), sd)
     out = j.select(
@@ -212,7 +213,7 @@ def group_price_stats(
         F.stddev_samp(F.col(price).cast("double")).alias("vp_std_price"),
         F.count(price).alias("vp_count"),
     )
-    return lines.join(stats, keys, "left")
+    return join_group_stats(lines, stats, keys, "vp_count", line_row_key(lines))
 
 
 def line_features(lines: DataFrame) -> DataFrame:
