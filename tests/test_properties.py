@@ -129,3 +129,19 @@ def test_globalwin_plan_is_distributed(spark):
     assert out.rdd.getNumPartitions() == 8
     builtin = single_partition_rank_and_running_total(df, "k", ["id"], "v", rank_col="r", running_col="c")
     assert "SinglePartition" in builtin._jdf.queryExecution().executedPlan().toString()
+
+
+def test_globalwin_and_quantile_edge_inputs(spark):
+    empty = spark.createDataFrame([], "id long, k double, v double")
+    out = rank_and_running_total(empty, "k", ["id"], "v", num_partitions=4, rank_col="r", running_col="c")
+    assert out.count() == 0
+    assert quantile_value(empty, "k", 0.03) is None
+    nulls = spark.createDataFrame([(1, None), (2, None)], "id long, k double")
+    assert quantile_value(nulls, "k", 0.5) is None
+    # NULL keys rank first on DESC NULLS FIRST and share a rank; ties straddle partitions
+    rows = [(i, None if i < 5 else float(i % 3), 1.0) for i in range(40)]
+    sa, sb = _both(spark, rows, "id long, k double, v double", "k", "v", 6)
+    assert sa == sb
+    assert [r for r in sa if r[0] < 5][0][1] == 1
+    one = spark.createDataFrame([(1, 2.0)], "id long, x double")
+    assert quantile_value(one, "x", 0.03) == 2.0
