@@ -7,16 +7,17 @@ of the column in one task.  Here the exact answer is found in three short steps:
      ``(n - 1) * q`` from ``percentile_approx`` (fixed-size sketch per partition),
      widened by ``margin`` (default 0.2 % of the rows, 20x the sketch's rank error);
      for tiny inputs the bracket is the whole range;
-  2. ``c_below`` = rows under ``lo``; the distinct values inside [lo, hi] with their
-     counts (about ``2 * margin * n`` rows);
+  2. one aggregate over the rows up to ``hi``: all rows under ``lo`` collapse into
+     one leading group, the rows inside [lo, hi] are grouped by value (about
+     ``2 * margin * n`` rows);
   3. a running count over those candidates locates the order statistics at ranks k
      and k + 1, which are interpolated linearly (numpy's default ``linear`` method).
      The candidate list has a proven size bound; up to ``SINGLE_TASK_ROWS`` it is
      ordered by one window task, beyond that by the range-partitioned scan of
      ``plans.globalwin``.
 
-Only scalars reach the driver.  The input is read three times: pass a checkpointed
-or file-backed DataFrame.
+Only scalars reach the driver.  The input is read twice: pass a checkpointed or
+file-backed DataFrame.
 """
 
 from __future__ import annotations
@@ -63,31 +64,39 @@ def quantile_value(
     frac = h - k
     k1 = min(k + 1, n - 1)
 
-    c_below = x.where(F.col("v") < F.lit(lo)).count()
+    # one pass: every row below the bracket collapses into a single leading group, the
+    # rows inside keep their values; rows above the bracket are not needed
+    below = F.col("v") < F.lit(lo)
     cand = (
-        x.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-        .groupBy("v")
+        x.where(F.col("v") <= F.lit(hi))
+        .groupBy(below.alias("below"), F.when(~below, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("cnt"))
+        .withColumn("ord", F.when(F.col("below"), F.lit(float("-inf"))).otherwise(F.col("v")))
     )
     # rows inside the bracket: at most (2 * margin + 2 / accuracy) * n by the sketch's
     # rank guarantee (plus 3 rows of rounding); a short list gets one ordered window,
     # a long one the range-partitioned running count
-    bound = int(n * (2 * margin + 2.0 / accuracy)) + 3
+    bound = int(n * (2 * margin + 2.0 / accuracy)) + 4
     if n * margin < 3 or q_lo == 0.0 or q_hi == 1.0:
         bound = n
     if bound <= SINGLE_TASK_ROWS:
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.orderBy(F.col("below").desc(), "ord").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
         ranked = cand.withColumn("cum", F.sum("cnt").over(w))
     else:
         ranked = rank_and_running_total(
-            cand, "v", [], "cnt", descending=False, nulls_first=False,
+            cand, "ord", ["below"], "cnt", descending=False, nulls_first=False,
             rank_col=None, running_col="cum",
         )
-    start = F.lit(c_below) + F.col("cum") - F.col("cnt")
-    end = F.lit(c_below) + F.col("cum") - F.lit(1)
-    hit = ranked.where(
-        ((start <= F.lit(k)) & (F.lit(k) <= end)) | ((start <= F.lit(k1)) & (F.lit(k1) <= end))
-    ).select("v", start.alias("start"), end.alias("end")).collect()
+    start = F.col("cum") - F.col("cnt")
+    end = F.col("cum") - F.lit(1)
+    hit = (
+        ranked.where(~F.col("below"))
+        .where(((start <= F.lit(k)) & (F.lit(k) <= end)) | ((start <= F.lit(k1)) & (F.lit(k1) <= end)))
+        .select("v", start.alias("start"), end.alias("end"))
+        .collect()
+    )
     v_k = next((r["v"] for r in hit if r["start"] <= k <= r["end"]), None)
     v_k1 = next((r["v"] for r in hit if r["start"] <= k1 <= r["end"]), None)
     if v_k is None or v_k1 is None:
