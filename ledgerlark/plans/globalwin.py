@@ -202,10 +202,14 @@ def rank_and_running_total(
     running-sum order inside a tie group, never the rank.
     """
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _sort_cols(key, tiebreak, descending, nulls_first)
 
-    ranged = checkpoint(df.repartitionByRange(n_parts, *order))
+    # Without an explicit count, AQE sizes the range partitions (coalescing adjacent
+    # ranges keeps the global order); the checkpoint then fixes that layout.
+    if num_partitions:
+        ranged = checkpoint(df.repartitionByRange(num_partitions, *order))
+    else:
+        ranged = checkpoint(df.repartitionByRange(*order))
     local = ranged.withColumn(_PID, F.spark_partition_id()).sortWithinPartitions(*order)
 
     key_type = df.schema[key].dataType
