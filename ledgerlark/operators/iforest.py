@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.session import ship_package
+
 EULER_GAMMA = 0.5772156649015329
 HASH_RANGE = 2**31
 
@@ -194,8 +196,9 @@ def feature_matrix(cols) -> list[F.Column]:
 
 def score_column(model: IsolationForestModel, spark: SparkSession | None = None) -> F.Column:
     """Column expression: anomaly score of each row from the model's feature columns."""
+    spark = spark or SparkSession.getActiveSession()
+    ship_package(spark)
     if model._bc is None:
-        spark = spark or SparkSession.getActiveSession()
         model._bc = spark.sparkContext.broadcast(model.arrays())
     bc = model._bc
 
@@ -262,6 +265,7 @@ def iforest_fit(
     Reads ``df`` twice (count, sample): pass a checkpointed / file-backed DataFrame.
     """
     spark = df.sparkSession
+    ship_package(spark)
     fx = [c.alias(f"_f{i}") for i, c in enumerate(feature_matrix(features))]
     row_hash = F.xxhash64(*[F.col(c) for c in row_key], F.lit(seed))
     x = df.select(*fx, row_hash.alias("_row_hash"))

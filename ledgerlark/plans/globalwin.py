@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.session import checkpoint
+from ledgerlark.session import checkpoint, ship_package
 
 _PID = "_gw_pid"
 _LOCAL_SUM = "_gw_local_sum"
@@ -202,6 +202,7 @@ def rank_and_running_total(
     running-sum order inside a tie group, never the rank.
     """
     spark = df.sparkSession
+    ship_package(spark)
     order = _sort_cols(key, tiebreak, descending, nulls_first)
 
     # Without an explicit count, AQE sizes the range partitions (coalescing adjacent

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,7 @@ def build_session(
     for k, v in conf.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +86,34 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.sparkContext.defaultParallelism))
     except Exception:  # pragma: no cover - Spark Connect has no SparkContext
         return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+_PACKAGE_ZIP: str | None = None
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerlark`` importable in Python workers (once per SparkContext).
+
+    pandas UDFs and ``mapInPandas`` functions refer to this package by module name, so
+    executors need it on their path; it is zipped once and added with
+    ``SparkContext.addPyFile`` (the programmatic form of ``--py-files``).
+    """
+    global _PACKAGE_ZIP
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    if _PACKAGE_ZIP is None:
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        out = os.path.join(tempfile.mkdtemp(prefix="ledgerlark-pkg-"), "ledgerlark.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+            for dirpath, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        zf.write(full, os.path.relpath(full, root))
+        _PACKAGE_ZIP = out
+    sc.addPyFile(_PACKAGE_ZIP)
+    _SHIPPED.add(key)
