@@ -75,7 +75,7 @@ def territory_growth(soh: DataFrame, territory: DataFrame, calendar_exact: bool
     ``LAG(revenue, 1)`` / ``LAG(revenue, 12)`` are positional over the territory's
     months, as in the original report (a missing month shifts the comparison).  With
     ``calendar_exact=True`` the previous month / same month last year are looked up by
-    date instead (self-join on ``add_months``), which is immune to gaps.
+    month number instead (RANGE window frames), which is immune to gaps.
 
     The window partitions by territory; each partition holds one row per month, so
     its size is bounded by the calendar however many orders a territory has.
@@ -93,18 +93,15 @@ def territory_growth(soh: DataFrame, territory: DataFrame, calendar_exact: bool
         )
     )
     if calendar_exact:
-        prev = monthly.select(
-            "territory",
-            F.add_months("period_date", 1).cast("timestamp_ntz").alias("period_date"),
-            F.col("revenue").alias("prev_rev"),
-        )
-        last_year = monthly.select(
-            "territory",
-            F.add_months("period_date", 12).cast("timestamp_ntz").alias("period_date"),
-            F.col("revenue").alias("ly_rev"),
-        )
-        with_lags = monthly.join(prev, ["territory", "period_date"], "left").join(
-            last_year, ["territory", "period_date"], "left"
+        # RANGE frames over a month number pick exactly the row 1 / 12 months earlier
+        # (NULL when that month is missing): one window pass, no self-join
+        m = F.year("period_date") * 12 + F.month("period_date")
+        monthly = monthly.withColumn("_month_no", m)
+        w = Window.partitionBy("territory").orderBy("_month_no")
+        with_lags = monthly.select(
+            "*",
+            F.max("revenue").over(w.rangeBetween(-1, -1)).alias("prev_rev"),
+            F.max("revenue").over(w.rangeBetween(-12, -12)).alias("ly_rev"),
         )
     else:
         w = Window.partitionBy("territory").orderBy("period_date")

@@ -55,6 +55,11 @@ def _territory_growth(spark, sf_dir):
     return revenue.territory_growth(t.salesorderheader, t.salesterritory)
 
 
+def _territory_growth_calendar(spark, sf_dir):
+    t = standin(spark, sf_dir)
+    return revenue.territory_growth(t.salesorderheader, t.salesterritory, calendar_exact=True)
+
+
 def _territory_yoy_variance(spark, sf_dir):
     t = standin(spark, sf_dir)
     return revenue.territory_yoy_variance(t.salesterritory)
@@ -226,6 +231,7 @@ QUERIES: dict[str, QueryFn] = {
     "monthly_spend_vs_revenue": _monthly_spend_vs_revenue,
     "margin_by_category": _margin_by_category,
     "territory_growth": _territory_growth,
+    "territory_growth_calendar": _territory_growth_calendar,
     "territory_yoy_variance": _territory_yoy_variance,
     "salesperson_attainment": _salesperson_attainment,
     "promotion_impact": _promotion_impact,
