@@ -267,10 +267,24 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> Data
     )
 
 
-def contamination_threshold(scored: DataFrame, score: str = "anomaly_raw",
-                            contamination: float = CONTAMINATION) -> float | None:
-    """Exact ``contamination`` quantile of the scores (linear interpolation)."""
-    return quantile_value(scored, score, contamination)
+def contamination_threshold(
+    scored: DataFrame,
+    score: str = "anomaly_raw",
+    contamination: float = CONTAMINATION,
+    exact: bool = True,
+    accuracy: int = 100_000,
+) -> float | None:
+    """The ``contamination`` quantile of the scores.
+
+    ``exact=True``: linear interpolation between order statistics, as numpy does
+    (three short passes, see ``functions.quantile``).  ``exact=False``: one
+    ``percentile_approx`` pass, rank error at most ``n / accuracy``.
+    """
+    if exact:
+        return quantile_value(scored, score, contamination)
+    return scored.agg(
+        F.percentile_approx(F.col(score).cast("double"), contamination, accuracy)
+    ).first()[0]
 
 
 def contamination_flag(
@@ -278,11 +292,12 @@ def contamination_flag(
     score: str = "anomaly_raw",
     contamination: float = CONTAMINATION,
     threshold: float | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """is_anomaly = score strictly below the contamination quantile; anomaly_score is
     -1 for anomalies and 1 otherwise."""
     if threshold is None:
-        threshold = contamination_threshold(scored, score, contamination)
+        threshold = contamination_threshold(scored, score, contamination, exact=exact)
     if threshold is None:
         flagged = F.lit(False)
     else:

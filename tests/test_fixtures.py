@@ -268,3 +268,17 @@ def test_half_even_flag_rate(spark):
     r = anomaly.anomaly_summary(df).first()
     assert (r.flagged_items, r.total_line_items, r.flag_rate_pct) == (1, 800, 0.12)
     assert r.avg_z_score == 0.0
+
+
+def test_approximate_contamination_threshold_is_close(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=20000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "anomaly_raw double")
+    exact = anomaly.contamination_threshold(df)
+    approx = anomaly.contamination_threshold(df, exact=False)
+    assert exact == pytest.approx(float(np.percentile(vals, 3)), abs=1e-12)
+    # rank error of the sketch is at most n / accuracy = 0.2 rows here
+    ranks = np.searchsorted(np.sort(vals), [exact, approx])
+    assert abs(int(ranks[0]) - int(ranks[1])) <= 2
