@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _plain_number(c: F.Column) -> F.Column:
+    """DOUBLE as plain decimal text (no exponent): up to 10 decimals, trailing zeros
+    trimmed but one kept after the point (``0.0``, ``866774125.69``); NULL, NaN -> empty."""
+    fixed = F.format_string("%.10f", c)
+    trimmed = F.regexp_replace(fixed, r"0+$", "")
+    text = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    return F.when(c.isNull() | F.isnan(c), F.lit(None)).otherwise(text)
+
+
 def _pandas_style(df: DataFrame) -> DataFrame:
-    """Booleans as True/False (how the original CSV reports print them)."""
+    """Booleans as True/False and doubles without exponent, as the original CSV
+    reports print them."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.BooleanType):
             c = F.when(c, F.lit("True")).when(~c, F.lit("False"))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = _plain_number(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

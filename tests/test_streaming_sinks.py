@@ -81,3 +81,14 @@ def test_run_metrics_and_breakdown_consistent(spark):
     b = anomaly.anomaly_breakdown(labelled).agg(F.sum("count")).first()[0] or 0
     assert m.n_flagged == b
     assert m.n_flagged <= 0.03 * m.n_lines + 1
+
+
+def test_csv_number_format(spark):
+    from ledgerlark.sources.sinks import _pandas_style
+
+    df = spark.createDataFrame(
+        [(866774125.69, 0.0, None, float("nan"), -2.5, True)],
+        "a double, b double, c double, d double, e double, f boolean",
+    )
+    r = _pandas_style(df).first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("866774125.69", "0.0", None, None, "-2.5", "True")
