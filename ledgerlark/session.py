@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 #  - AQE with skew-join splitting and partition coalescing: hot vendors / months /
 #    offers are split at runtime instead of landing in one task.
 #  - Arrow for the pandas UDFs of the isolation forest.
+#  - checkpoint cleanup: the library checkpoints intermediate results (global window
+#    layout, scored lines, group statistics); they are removed when no longer used.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +24,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files are deleted once the DataFrames reading them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
