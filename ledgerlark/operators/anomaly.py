@@ -250,21 +250,20 @@ def line_features(lines: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - mean) / population std per column, NULL -> 0 first; a zero-variance column
-    keeps scale 1.  Statistics are one aggregate row joined to every line."""
+    keeps scale 1.  The statistics are one aggregate row (read once, used as literals);
+    pass a checkpointed input, it is read twice."""
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    # one aggregate pass -> one row of statistics (16 numbers) -> literals
     stats = df.agg(
-        *[F.avg(filled[c]).alias(f"_mu_{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(filled[c]).alias(f"_sd_{i}") for i, c in enumerate(cols)],
-    )
-    j = df.crossJoin(F.broadcast(stats))  # one-row relation
+        *[F.avg(filled[c]).alias(f"mu{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(filled[c]).alias(f"sd{i}") for i, c in enumerate(cols)],
+    ).first()
     scaled = {}
     for i, c in enumerate(cols):
-        sd = F.col(f"_sd_{i}")
-        scale = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-        scaled[f"{c}{suffix}"] = (filled[c] - F.col(f"_mu_{i}")) / scale
-    return j.withColumns(scaled).drop(
-        *[f"_mu_{i}" for i in range(len(cols))], *[f"_sd_{i}" for i in range(len(cols))]
-    )
+        mu, sd = stats[f"mu{i}"], stats[f"sd{i}"]
+        scale = 1.0 if sd is None or sd == 0 else float(sd)
+        scaled[f"{c}{suffix}"] = (filled[c] - F.lit(mu).cast("double")) / F.lit(scale)
+    return df.withColumns(scaled)
 
 
 def contamination_threshold(

@@ -109,9 +109,9 @@ def vendor_pareto(
     vs = vendor.select(
         F.col("businessentityid").alias("vendor_id"), F.col("name").alias("vendor_name")
     ).join(per_vendor, F.col("vendor_id") == per_vendor.vendorid).drop("vendorid")
-    # one-row relation: the grand total of the rounded vendor totals
-    totals = vs.agg(F.sum("total_spend_dec").alias("grand_total"))
-    with_total = vs.crossJoin(F.broadcast(totals))
+    # the grand total of the rounded vendor totals, as a scalar subquery
+    grand_total = vs.agg(F.sum("total_spend_dec")).scalar()
+    with_total = vs.withColumn("grand_total", grand_total)
     ranked = _ranker(distributed)(
         with_total, "total_spend_dec", ["vendor_id"], "total_spend_dec",
         rank_col="spend_rank", running_col="cum_spend",
