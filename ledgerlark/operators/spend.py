@@ -109,13 +109,13 @@ def vendor_pareto(
     vs = vendor.select(
         F.col("businessentityid").alias("vendor_id"), F.col("name").alias("vendor_name")
     ).join(per_vendor, F.col("vendor_id") == per_vendor.vendorid).drop("vendorid")
-    # the grand total of the rounded vendor totals, as a scalar subquery
-    grand_total = vs.agg(F.sum("total_spend_dec")).scalar()
-    with_total = vs.withColumn("grand_total", grand_total)
     ranked = _ranker(distributed)(
-        with_total, "total_spend_dec", ["vendor_id"], "total_spend_dec",
+        vs, "total_spend_dec", ["vendor_id"], "total_spend_dec",
         rank_col="spend_rank", running_col="cum_spend",
     )
+    # grand total of the rounded vendor totals, as a scalar subquery over the ranked
+    # rows (the distributed ranker has materialized them: no second pass over lines)
+    ranked = ranked.withColumn("grand_total", ranked.agg(F.sum("total_spend_dec")).scalar())
     cumulative = pct("cum_spend", "grand_total")
     return ranked.select(
         F.col("vendor_id").cast("long"),
