@@ -92,3 +92,25 @@ def test_csv_number_format(spark):
     )
     r = _pandas_style(df).first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("866774125.69", "0.0", None, None, "-2.5", "True")
+
+
+def test_fitted_forest_reports_end_to_end(spark):
+    t = standin(spark, SF_SMALL)
+    out = reports.anomaly_reports(t)
+    rep = out["anomaly_report"]
+    rows = rep.select("anomaly_raw", "is_anomaly", "anomaly_flag").collect()
+    scores = [r.anomaly_raw for r in rows]
+    assert scores == sorted(scores)  # most anomalous first
+    flagged = [r for r in rows if r.is_anomaly]
+    assert 0 < len(flagged) <= 0.03 * len(rows) + 1
+    assert all(r.anomaly_flag != "Normal" for r in flagged)
+    assert all(r.anomaly_flag == "Normal" for r in rows if not r.is_anomaly)
+    # every flagged score lies strictly below every unflagged one
+    assert max(r.anomaly_raw for r in flagged) < min(r.anomaly_raw for r in rows if not r.is_anomaly)
+    summary = out["anomaly_summary"].agg(
+        F.sum("total_line_items").alias("n"), F.sum("flagged_items").alias("f")
+    ).first()
+    assert (summary.n, summary.f) == (len(rows), len(flagged))
+    breakdown = out["anomaly_breakdown"].agg(F.sum("count")).first()[0]
+    assert breakdown == len(flagged)
+    assert out["run_metrics"].first().n_flagged == len(flagged)
