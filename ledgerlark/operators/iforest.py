@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ledgerlark.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
-HASH_RANGE = 2**31
+HASH_RANGE = 2**62  # hash buckets for sampling rates; fine-grained even at ~1e-9
 
 NODE_SCHEMA = T.StructType(
     [
