@@ -5,18 +5,19 @@ UNBOUNDED PRECEDING)`` have no PARTITION BY, so Spark's built-in window moves ev
 row into one task.  That is fine for a few thousand vendors and fatal for a billion.
 
 Plan used here (all partitions work in parallel):
-  1. ``repartitionByRange(N, k, id)``: rows are range-partitioned on the full sort key,
+  1. ``repartitionByRange(k, id)``: rows are range-partitioned on the full sort key,
      so partition p holds a contiguous slice of the global order.  Ties on ``k`` may
      straddle partitions (a hot value is split, never piled into one task).
-  2. Reliable checkpoint of that layout (shared ``spark.checkpoint.dir``), so both
-     passes below see the very same partitions even if an executor is lost.
-  3. Pass A, one row per partition: row count, value total, first/last key and the
-     size of the first/last tie group (``mapInPandas`` after a local sort).
-     These N rows (N = partition count, a fixed bound) go to the driver, which
+  2. One ``mapInPandas`` pass over each locally sorted partition computes every row's
+     in-partition min-rank and running sum, and appends one summary row for the
+     partition: row count, value total, first / last key, size of the last tie group.
+  3. Reliable checkpoint of that output (shared ``spark.checkpoint.dir``): rows and
+     their partition's summary are stored together, so they agree even if an executor
+     is lost and a task reruns.
+  4. The N summary rows (N = partition count, a fixed bound) go to the driver, which
      turns them into per-partition offsets: rows before, value before, and how many
-     rows of the partition's first key sit in earlier partitions.
-  4. Pass B: local sort + ``mapInPandas`` computes the in-partition running sum and
-     min-rank, then a broadcast join with the N-row offset table adds the offsets.
+     rows of the partition's first key sit in earlier partitions; a broadcast join with
+     that N-row table adds the offsets to every row.
 """
 
 from __future__ import annotations
@@ -66,98 +67,77 @@ def _same_as_prev(keys: pd.Series, carried, has_carried: bool) -> np.ndarray:
     return eq
 
 
-def _partition_summary(key: str, value: str | None):
-    def run(batches):
-        n = 0
-        total = None
-        first = last = None
-        n_first = n_last = 0
-        first_run_open = True
-        pid = None
-        with decimal.localcontext() as ctx:
-            ctx.prec = 60
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                pid = int(pdf[_PID].iloc[0])
-                keys = pdf[key]
-                same = _same_as_prev(keys, last, n > 0)
-                if n == 0:
-                    first = keys.iloc[0]
-                if first_run_open:
-                    # leading tie group: rows equal to the partition's first key
-                    start = 1 if n == 0 else 0
-                    brk = np.flatnonzero(~same[start:])
-                    if len(brk):
-                        n_first += start + int(brk[0])
-                        first_run_open = False
-                    else:
-                        n_first += len(pdf)
-                new = np.flatnonzero(~same)
-                n_last = (len(pdf) - int(new[-1])) if len(new) else n_last + len(pdf)
-                last = keys.iloc[-1]
-                n += len(pdf)
-                if value is not None:
-                    vals = pdf[value].dropna()
-                    if vals.dtype == object:
-                        s = sum(vals.tolist(), decimal.Decimal(0))
-                    else:
-                        s = float(vals.sum())
-                    total = s if total is None else total + s
-        if n:
-            yield pd.DataFrame(
-                {
-                    _PID: [pid],
-                    "n": [n],
-                    "total": [total],
-                    "first_key": [first],
-                    "last_key": [last],
-                    "n_first": [n_first],
-                    "n_last": [n_last],
-                }
-            )
+_MARKER = "_gw_marker"
+_SUMMARY = ("n", "total", "first_key", "last_key", "n_first", "n_last")
 
-    return run
 
+def _partition_scan(key: str, value: str | None, out_cols: list[str]):
+    """One pass over a sorted partition: in-partition min-rank and running sum for every
+    row, then one marker row holding the partition's summary (row count, value total,
+    first / last key, size of the first / last tie group)."""
 
-def _partition_scan(key: str, value: str | None):
     def run(batches):
         count = 0
         last_key = None
         last_rank = 0
         running = None
+        first = None
+        n_first = n_last = 0
+        first_run_open = True
+        pid = None
         with decimal.localcontext() as ctx:
             ctx.prec = 60
             for pdf in batches:
                 if pdf.empty:
                     continue
                 m = len(pdf)
-                same = _same_as_prev(pdf[key], last_key, count > 0)
+                pid = int(pdf[_PID].iloc[0])
+                keys = pdf[key]
+                same = _same_as_prev(keys, last_key, count > 0)
                 pos = np.arange(count + 1, count + m + 1, dtype=np.int64)
                 starts = np.where(same, 0, pos)
                 if same[0]:
                     starts[0] = last_rank
                 ranks = np.maximum.accumulate(starts)
                 pdf[_LOCAL_RANK] = ranks
+                if count == 0:
+                    first = keys.iloc[0]
+                if first_run_open:
+                    lead = 1 if count == 0 else 0
+                    brk = np.flatnonzero(~same[lead:])
+                    if len(brk):
+                        n_first += lead + int(brk[0])
+                        first_run_open = False
+                    else:
+                        n_first += m
+                new = np.flatnonzero(~same)
+                n_last = (m - int(new[-1])) if len(new) else n_last + m
                 if value is not None:
                     vals = pdf[value]
                     if vals.dtype == object:
                         filled = vals.map(lambda x: decimal.Decimal(0) if x is None else x)
                         cum = np.cumsum(filled.to_numpy(dtype=object))
-                        if running is not None:
-                            cum = cum + running
-                        running = cum[-1]
-                        pdf[_LOCAL_SUM] = cum
                     else:
                         cum = np.cumsum(vals.fillna(0).to_numpy(dtype=np.float64))
-                        if running is not None:
-                            cum = cum + running
-                        running = cum[-1]
-                        pdf[_LOCAL_SUM] = cum
-                last_key = pdf[key].iloc[-1]
+                    if running is not None:
+                        cum = cum + running
+                    running = cum[-1]
+                    pdf[_LOCAL_SUM] = cum
+                pdf[_MARKER] = False
+                last_key = keys.iloc[-1]
                 last_rank = int(ranks[-1])
                 count += m
-                yield pdf
+                yield pdf.reindex(columns=out_cols)
+            if count:
+                marker = {c: [None] for c in out_cols}
+                marker.update(
+                    {
+                        _PID: [pid], _MARKER: [True], "n": [count], "total": [running],
+                        "first_key": [first], "last_key": [last_key],
+                        "n_first": [n_first], "n_last": [n_last],
+                    }
+                )
+                yield pd.DataFrame(marker, columns=out_cols)
 
     return run
 
@@ -206,11 +186,11 @@ def rank_and_running_total(
     order = _sort_cols(key, tiebreak, descending, nulls_first)
 
     # Without an explicit count, AQE sizes the range partitions (coalescing adjacent
-    # ranges keeps the global order); the checkpoint then fixes that layout.
+    # ranges keeps the global order).
     if num_partitions:
-        ranged = checkpoint(df.repartitionByRange(num_partitions, *order))
+        ranged = df.repartitionByRange(num_partitions, *order)
     else:
-        ranged = checkpoint(df.repartitionByRange(*order))
+        ranged = df.repartitionByRange(*order)
     local = ranged.withColumn(_PID, F.spark_partition_id()).sortWithinPartitions(*order)
 
     key_type = df.schema[key].dataType
@@ -220,19 +200,26 @@ def rank_and_running_total(
         if isinstance(val_type, T.DecimalType)
         else T.DoubleType()
     )
-    summary_schema = T.StructType(
-        [
-            T.StructField(_PID, T.IntegerType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("total", sum_type),
-            T.StructField("first_key", key_type),
-            T.StructField("last_key", key_type),
-            T.StructField("n_first", T.LongType()),
-            T.StructField("n_last", T.LongType()),
-        ]
+    fields = [T.StructField(f.name, f.dataType, True) for f in local.schema.fields]
+    fields.append(T.StructField(_LOCAL_RANK, T.LongType()))
+    if value:
+        fields.append(T.StructField(_LOCAL_SUM, sum_type))
+    fields += [
+        T.StructField(_MARKER, T.BooleanType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("total", sum_type),
+        T.StructField("first_key", key_type),
+        T.StructField("last_key", key_type),
+        T.StructField("n_first", T.LongType()),
+        T.StructField("n_last", T.LongType()),
+    ]
+    schema = T.StructType(fields)
+    # one Python pass; rows and their partition's summary row are checkpointed together
+    scanned_all = checkpoint(
+        local.mapInPandas(_partition_scan(key, value, schema.fieldNames()), schema)
     )
     # N rows: bounded by the partition count, safe to bring to the driver.
-    summary = local.mapInPandas(_partition_summary(key, value), summary_schema).collect()
+    summary = scanned_all.where(F.col(_MARKER)).select(_PID, *_SUMMARY).collect()
     offsets = spark.createDataFrame(
         _offsets(summary, value is not None),
         T.StructType(
@@ -244,11 +231,7 @@ def rank_and_running_total(
             ]
         ),
     )
-
-    scan_fields = list(local.schema.fields) + [T.StructField(_LOCAL_RANK, T.LongType())]
-    if value:
-        scan_fields.append(T.StructField(_LOCAL_SUM, sum_type))
-    scanned = local.mapInPandas(_partition_scan(key, value), T.StructType(scan_fields))
+    scanned = scanned_all.where(~F.col(_MARKER)).drop(_MARKER, *_SUMMARY)
     out = scanned.join(F.broadcast(offsets), _PID)
     if rank_col:
         out = out.withColumn(
