@@ -68,7 +68,7 @@ def _same_as_prev(keys: pd.Series, carried, has_carried: bool) -> np.ndarray:
 
 
 _MARKER = "_gw_marker"
-_SUMMARY = ("n", "total", "first_key", "last_key", "n_first", "n_last")
+_SUMMARY = ("_gw_n", "_gw_total", "_gw_first_key", "_gw_last_key", "_gw_n_first", "_gw_n_last")
 
 
 def _partition_scan(key: str, value: str | None, out_cols: list[str]):
@@ -132,9 +132,9 @@ def _partition_scan(key: str, value: str | None, out_cols: list[str]):
                 marker = {c: [None] for c in out_cols}
                 marker.update(
                     {
-                        _PID: [pid], _MARKER: [True], "n": [count], "total": [running],
-                        "first_key": [first], "last_key": [last_key],
-                        "n_first": [n_first], "n_last": [n_last],
+                        _PID: [pid], _MARKER: [True], "_gw_n": [count], "_gw_total": [running],
+                        "_gw_first_key": [first], "_gw_last_key": [last_key],
+                        "_gw_n_first": [n_first], "_gw_n_last": [n_last],
                     }
                 )
                 yield pd.DataFrame(marker, columns=out_cols)
@@ -152,15 +152,15 @@ def _offsets(rows, has_value: bool):
         # rows of this partition's first key that sit in earlier partitions
         spill = 0
         j = i - 1
-        while j >= 0 and _same(rows[j]["last_key"], r["first_key"]):
-            spill += rows[j]["n_last"]
-            if rows[j]["n_last"] < rows[j]["n"]:
+        while j >= 0 and _same(rows[j]["_gw_last_key"], r["_gw_first_key"]):
+            spill += rows[j]["_gw_n_last"]
+            if rows[j]["_gw_n_last"] < rows[j]["_gw_n"]:
                 break
             j -= 1
         out.append((r[_PID], cnt_before, spill, sum_before))
-        cnt_before += r["n"]
-        if has_value and r["total"] is not None:
-            sum_before = r["total"] if sum_before is None else sum_before + r["total"]
+        cnt_before += r["_gw_n"]
+        if has_value and r["_gw_total"] is not None:
+            sum_before = r["_gw_total"] if sum_before is None else sum_before + r["_gw_total"]
     return out
 
 
@@ -206,12 +206,12 @@ def rank_and_running_total(
         fields.append(T.StructField(_LOCAL_SUM, sum_type))
     fields += [
         T.StructField(_MARKER, T.BooleanType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("total", sum_type),
-        T.StructField("first_key", key_type),
-        T.StructField("last_key", key_type),
-        T.StructField("n_first", T.LongType()),
-        T.StructField("n_last", T.LongType()),
+        T.StructField("_gw_n", T.LongType()),
+        T.StructField("_gw_total", sum_type),
+        T.StructField("_gw_first_key", key_type),
+        T.StructField("_gw_last_key", key_type),
+        T.StructField("_gw_n_first", T.LongType()),
+        T.StructField("_gw_n_last", T.LongType()),
     ]
     schema = T.StructType(fields)
     # one Python pass; rows and their partition's summary row are checkpointed together
