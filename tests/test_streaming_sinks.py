@@ -114,3 +114,17 @@ def test_fitted_forest_reports_end_to_end(spark):
     breakdown = out["anomaly_breakdown"].agg(F.sum("count")).first()[0]
     assert breakdown == len(flagged)
     assert out["run_metrics"].first().n_flagged == len(flagged)
+
+
+def test_package_shipped_to_workers(spark):
+    import zipfile
+
+    from ledgerlark import session
+
+    session.ship_package(spark)
+    session.ship_package(spark)  # once per SparkContext
+    assert spark.sparkContext.applicationId in session._SHIPPED
+    names = set(zipfile.ZipFile(session._PACKAGE_ZIP).namelist())
+    for module in ("ledgerlark/__init__.py", "ledgerlark/plans/globalwin.py",
+                   "ledgerlark/operators/iforest.py", "ledgerlark/session.py"):
+        assert module in names
