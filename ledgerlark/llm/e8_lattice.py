@@ -126,7 +126,7 @@ def _first_meeting(cells_a: np.ndarray, cells_b: np.ndarray) -> np.ndarray:
 def _links(tables: E8Tables, threshold: float):
     """Task: left (home) rows against right rows of a cell; counts and a forest."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side, rep, n, home = (table[c].to_numpy() for c in ("side", "rep", "n", "home"))
         tab = key[1].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

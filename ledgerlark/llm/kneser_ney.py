@@ -233,13 +233,14 @@ def discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.
 def modified_discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Discounts for counts 1, 2, 3 and more from how many counts are 1, 2, 3, 4.
 
-    Where one of the first three is missing (tiny inputs): 0.5, 1 and 1.5.
+    Half the count where the estimate is missing or out of its range (tiny inputs), as
+    a discount of nothing would leave unknown words without probability.
     """
     if not (n1 and n2 and n3):
         return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))
+    return tuple(d if 0 < d <= k else k / 2 for k, d in enumerate(found, 1))
 
 
 @lru_cache(maxsize=1 << 16)

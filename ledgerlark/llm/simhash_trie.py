@@ -21,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -206,7 +207,7 @@ def trie_links(fps: DataFrame, budget: int = 4, block_rows: int = BLOCK_ROWS) ->
                         names=["a", "b", "right", "fp"],
                     )
 
-    def join(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
         right = rows["right"].to_numpy()
         if key[0] == key[1]:
