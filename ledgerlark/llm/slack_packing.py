@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from .common import partitions, spool
 
 #: Words whose ids a Python worker remembers, at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 #: Runs of letters or punctuation that it remembers, about.
-CACHE_RUNS = 1_200_000
+CACHE_RUNS = 600_000
 
 #: Characters of text that are split at once.
 GROUP_CHARS = 1 << 20
-#: Latin letters that stand alone in NFC, then punctuation without the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)").fullmatch
+#: Latin letters that stand alone in NFC, and punctuation without the apostrophe.
+_LATIN, _SIGNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ".,;:!?"
 
 _TOKENIZERS: dict = {}
 
@@ -78,18 +78,25 @@ class WordIds:
             self.known = {"": b""}
         if len(self.runs) > CACHE_RUNS:
             self.runs = {"": b""}
-        plain = [(w, m[1].lower(), m[2]) for w in words if (m := _PLAIN(w))]
+        plain, odd = [], []
+        for w in words:
+            run = w.rstrip(_SIGNS)
+            if run.isalpha() and run.isascii() or not run or _LATIN(run):
+                plain.append((w, run.lower(), w[len(run) :]))
+            else:
+                odd.append(w)
         runs = {r for _, a, b in plain for r in (a, b)}.difference(self.runs)
         self._learn_runs(list(runs))
-        self.known.update((w, self.runs[a] + self.runs[b]) for w, a, b in plain)
-        if len(plain) < len(words):
-            odd = [w for w in words if not _PLAIN(w)]
-            for at in range(0, len(odd), 2048):
-                got = self.whole.encode_batch_fast(odd[at : at + 2048], add_special_tokens=False)
-                self.known.update(zip(odd[at : at + 2048], (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
+        ids = self.runs
+        self.known.update((w, ids[a] + ids[b]) for w, a, b in plain)
+        for at in range(0, len(odd), 2048):
+            got = self.whole.encode_batch_fast(odd[at : at + 2048], add_special_tokens=False)
+            self.known.update(zip(odd[at : at + 2048], (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # lower case first, as the normalizer would, where that can't touch anything else
+        lower = (t if "<|" in t or "Σ" in t or "İ" in t else t.lower() for t in texts)
+        split = [t.replace("\n", " ").split(" ") for t in lower]
         every = set(chain.from_iterable(split))
         if new := every.difference(self.known):
             self._learn(list(new if len(self.known) + len(new) <= CACHE_WORDS else every - {""}))
