@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import discard, partitions, shared_path, spool
 
 #: Bytes of text that a task counts or scores at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Names no word can have, as they hold a blank.
 END, BEGIN = b" end", b" begin"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -356,7 +356,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     # words: counted, dealt by ranges of hashes, stored sorted
     words = texts.mapInArrow(_count_words, "h long, n long")
     place = F.shiftrightunsigned(F.shiftright("h", 31) * F.lit(shards).cast("long"), 32).cast("int")
-    dealt = words.select(place.alias("shard"), "h", "n").repartition(shards, "shard").sortWithinPartitions("shard", "h")
+    dealt = words.select(place.alias("shard"), "h", "n").repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
     held, _ = spool(_by_shard(dealt, _store_words(path), "shard int, words long, tokens long"), "words")
     sizes = {r["shard"]: r for r in held.collect()}  # one row per shard
     offsets = np.append(0, np.cumsum([sizes[s]["words"] if s in sizes else 0 for s in range(shards)]))
@@ -378,7 +378,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     # pairs: counted, dealt by context (hot ones by pair), stored sorted
     pairs = texts.mapInArrow(_count_pairs(model), "shard int, key long, n long")
-    dealt = pairs.repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    dealt = pairs.repartitionById(shards, "shard").sortWithinPartitions("shard", "key")
     stats, stats_path = spool(_by_shard(dealt, _store_pairs(model), "kind int, id long, a long, b long, c long, d long"), "pairs")
     sums = [F.sum(c).alias(c) for c in "abcd"]
     hot_rows = stats.where("kind = 1").groupBy("id").agg(*sums).collect()
@@ -386,7 +386,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     # continuation counts, along with the words
     follow = stats.where("kind = 0").groupBy(F.col("b").cast("int").alias("shard"), F.col("id").alias("h")).agg(F.sum("a").alias("n"))
-    dealt = follow.repartition(shards, "shard").sortWithinPartitions("shard", "h")
+    dealt = follow.repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
     schema = "total long, n1 long, n2 long, n3 long, n4 long, more long"
     told, _ = spool(_by_shard(dealt, _store_continuations(model), schema), "continuations")
     got = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "n1", "n2", "n3", "n4", "more"))).first()
