@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, spool
+from .common import spool
 from .vectors import block_pairs, copies, matrix, usable
 
 
@@ -133,9 +133,7 @@ def _best(keep: int):
 
 def _ranked(left: DataFrame, right: DataFrame, keep: int) -> DataFrame:
     keys = ["dims", "tab", "cell"]
-    blocks = block_pairs(left, right, keys)
-    dealt = blocks.repartition(partitions(blocks.sparkSession), *keys, "lb", "rb")
-    return dealt.groupBy(*keys, "lb", "rb").applyInArrow(_best(keep), "query long, rep long, score double")
+    return block_pairs(left, right, keys).groupBy(*keys, "lb", "rb").applyInArrow(_best(keep), "query long, rep long, score double")
 
 
 def nearest(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, spool, union_labels
+from .common import components, spool, union_labels
 from .vectors import block_pairs, matrix, usable
 
 
@@ -68,9 +68,9 @@ def decode(y: np.ndarray) -> np.ndarray:
 class E8Tables:
     """Projections, and the cells of vectors in them."""
 
-    tables: int = 12
-    probes: int = 8
-    scale: float = 0.9
+    tables: int = 10
+    probes: int = 2
+    scale: float = 0.7
     seed: int = 42
 
     def cells(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -192,7 +192,7 @@ def embedding_near_dedup(
     classes, _ = spool(counted.select("rep", "n", "vec"), "classes")
     left, right = _in_cells(classes, tables, True), _in_cells(classes, tables, False)
     keys = ["dims", "tab", "cell"]
-    dealt = block_pairs(left, right, keys).repartition(partitions(df.sparkSession), *keys, "lb", "rb")
+    dealt = block_pairs(left, right, keys)
     found, _ = spool(dealt.groupBy(*keys, "lb", "rb").applyInArrow(_links(tables, threshold), "u long, v long, links long"), "links")
     comp = components(found.where("u <> v").select("u", "v"))
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

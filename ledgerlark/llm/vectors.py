@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions, spool
+
 #: Rows of one side in a task's block, at most about.
 BLOCK_ROWS = 16384
 
@@ -40,17 +42,29 @@ def matrix(col: pa.ChunkedArray) -> np.ndarray:
 def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of both sides dealt so that every left row meets every right row of its key.
 
-    Each side of a key is cut by hash into blocks of about ``rows``; ``(*keys, lb, rb)``
-    is one pair of blocks.  ``side`` is 0 for left, 1 for right rows.
+    A key with more than ``rows`` rows on a side is cut there, by hash, into blocks of
+    about that many; ``(*keys, lb, rb)`` is one pair of blocks.  ``side`` is 0 for left,
+    1 for right rows.  Only the large keys are joined to the rows, in a table that
+    Spark may broadcast or not by its size.
     """
-    ln = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("lbs"))
-    rn = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("rbs"))
-    both = ln.join(rn, keys)
+    spark = left.sparkSession
+
+    def large(df, name):
+        blocks = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
+        return df.groupBy(*keys).agg(blocks).where(F.col(name) > 1)
+
+    both, _ = spool(large(left, "lbs").join(large(right, "rbs"), keys, "full_outer"), "large")
+    if both.isEmpty():
+        both = None
 
     def dealt(df, side, own, other):
-        mine = F.pmod(F.xxhash64("rep"), F.col(own + "s").cast("long")).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other)
         cols = [c for c in df.columns if c not in keys]
-        return df.join(both, keys).select(*keys, mine, every, F.lit(side).alias("side"), *cols).select(*keys, "lb", "rb", "side", *cols)
+        if both is None:
+            return df.select(*keys, F.lit(0).alias("lb"), F.lit(0).alias("rb"), F.lit(side).alias("side"), *cols)
+        owns, others = (F.coalesce(F.col(c), F.lit(1)) for c in (own + "s", other + "s"))
+        mine = F.pmod(F.xxhash64("rep"), owns.cast("long")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), others - 1)).alias(other)
+        return df.join(both, keys, "left").select(*keys, mine, every, F.lit(side).alias("side"), *cols).select(*keys, "lb", "rb", "side", *cols)
 
-    return dealt(left, 0, "lb", "rb").unionByName(dealt(right, 1, "rb", "lb"))
+    blocks = dealt(left, 0, "lb", "rb").unionByName(dealt(right, 1, "rb", "lb"))
+    return blocks.repartition(partitions(spark), *keys, "lb", "rb")
