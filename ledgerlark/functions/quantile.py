@@ -5,16 +5,15 @@ of the column in one task.  Here the exact answer is found in three short steps:
 
   1. one aggregate -> one row: ``n``, min, max and a bracket [lo, hi] around rank
      ``(n - 1) * q`` from ``percentile_approx`` (fixed-size sketch per partition),
-     widened by ``margin`` (default 0.2 % of the rows, 20x the sketch's rank error);
-     for tiny inputs the bracket is the whole range;
+     widened by ``margin`` (default 0.2 % of the rows, 20x the sketch's rank error,
+     and three rows at least);
   2. one aggregate over the rows up to ``hi``: all rows under ``lo`` collapse into
      one leading group, the rows inside [lo, hi] are grouped by value (about
      ``2 * margin * n`` rows);
   3. a running count over those candidates locates the order statistics at ranks k
      and k + 1, which are interpolated linearly (numpy's default ``linear`` method).
-     The candidate list has a proven size bound; up to ``SINGLE_TASK_ROWS`` it is
-     ordered by one window task, beyond that by the range-partitioned scan of
-     ``plans.globalwin``.
+     The candidates are ordered by the range-partitioned scan of ``plans.globalwin``.
+     Should the bracket miss the ranks, it is widened and the search goes on.
 
 Only scalars reach the driver.  The input is read twice: pass a checkpointed or
 file-backed DataFrame.
@@ -24,14 +23,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.plans.globalwin import rank_and_running_total
 
-# Largest candidate list ordered in a single task.
-SINGLE_TASK_ROWS = 2_000_000
-
 
 def quantile_value(
     df: DataFrame,
@@ -44,25 +40,31 @@ def quantile_value(
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
     x = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = x.count()
+    if n == 0:
+        return None
+    h = (n - 1) * q
+    k = int(math.floor(h))
+    k1 = min(k + 1, n - 1)
+    margin = max(margin, 3.0 / n)
+    while True:
+        found = _order_statistics(x, n, q, (k, k1), accuracy, margin)
+        if found is not None:
+            v_k, v_k1 = found
+            return float(v_k if v_k1 == v_k else v_k + (v_k1 - v_k) * (h - k))
+        margin *= 4  # a bracket of the whole range can't miss
+
+
+def _order_statistics(x: DataFrame, n: int, q: float, ranks, accuracy: int, margin: float):
+    """Values at the two ranks (from 0), or None if the bracket misses them."""
     q_lo, q_hi = max(0.0, q - margin), min(1.0, q + margin)
     st = x.agg(
-        F.count("v").alias("n"),
         F.min("v").alias("vmin"),
         F.max("v").alias("vmax"),
         F.percentile_approx("v", F.array(F.lit(q_lo), F.lit(q_hi)), accuracy).alias("b"),
     ).first()
-    n = int(st["n"])
-    if n == 0:
-        return None
-    if n * margin < 3 or q_lo == 0.0 or q_hi == 1.0:
-        lo = st["vmin"] if (n * margin < 3 or q_lo == 0.0) else st["b"][0]
-        hi = st["vmax"] if (n * margin < 3 or q_hi == 1.0) else st["b"][1]
-    else:
-        lo, hi = st["b"][0], st["b"][1]
-    h = (n - 1) * q
-    k = int(math.floor(h))
-    frac = h - k
-    k1 = min(k + 1, n - 1)
+    lo = st["vmin"] if q_lo == 0.0 else st["b"][0]
+    hi = st["vmax"] if q_hi == 1.0 else st["b"][1]
 
     # one pass: every row below the bracket collapses into a single leading group, the
     # rows inside keep their values; rows above the bracket are not needed
@@ -73,34 +75,13 @@ def quantile_value(
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("ord", F.when(F.col("below"), F.lit(float("-inf"))).otherwise(F.col("v")))
     )
-    # rows inside the bracket: at most (2 * margin + 2 / accuracy) * n by the sketch's
-    # rank guarantee (plus 3 rows of rounding); a short list gets one ordered window,
-    # a long one the range-partitioned running count
-    bound = int(n * (2 * margin + 2.0 / accuracy)) + 4
-    if n * margin < 3 or q_lo == 0.0 or q_hi == 1.0:
-        bound = n
-    if bound <= SINGLE_TASK_ROWS:
-        w = Window.orderBy(F.col("below").desc(), "ord").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        ranked = cand.withColumn("cum", F.sum("cnt").over(w))
-    else:
-        ranked = rank_and_running_total(
-            cand, "ord", ["below"], "cnt", descending=False, nulls_first=False,
-            rank_col=None, running_col="cum",
-        )
+    ranked = rank_and_running_total(
+        cand, "ord", ["below"], "cnt", descending=False, nulls_first=False,
+        rank_col=None, running_col="cum",
+    )
     start = F.col("cum") - F.col("cnt")
     end = F.col("cum") - F.lit(1)
-    hit = (
-        ranked.where(~F.col("below"))
-        .where(((start <= F.lit(k)) & (F.lit(k) <= end)) | ((start <= F.lit(k1)) & (F.lit(k1) <= end)))
-        .select("v", start.alias("start"), end.alias("end"))
-        .collect()
-    )
-    v_k = next((r["v"] for r in hit if r["start"] <= k <= r["end"]), None)
-    v_k1 = next((r["v"] for r in hit if r["start"] <= k1 <= r["end"]), None)
-    if v_k is None or v_k1 is None:
-        raise RuntimeError("quantile bracket missed the target rank; raise accuracy/margin")
-    if frac == 0.0 or v_k1 == v_k:
-        return float(v_k)
-    return float(v_k + (v_k1 - v_k) * frac)
+    at = [(start <= F.lit(r)) & (F.lit(r) <= end) for r in ranks]
+    hit = ranked.where(~F.col("below")).where(at[0] | at[1]).select("v", start.alias("start"), end.alias("end")).collect()
+    values = [next((r["v"] for r in hit if r["start"] <= k <= r["end"]), None) for k in ranks]
+    return None if None in values else tuple(values)

@@ -332,8 +332,8 @@ def anomaly_summary(labelled: DataFrame) -> DataFrame:
     """Per vendor name: lines, flagged lines, spend, flagged spend, z statistics and
     the two rates (rounded like pandas, half to even).
 
-    avg_z_score averages z rounded to 4 places (exact decimal sum): within a group z
-    sums to zero, so the raw mean is pure floating-point noise.
+    avg_z_score and max_z_score are raw, as the original emits them: within a group z
+    sums to zero, so a mean may be floating-point noise around it.
     """
     flagged = F.col("is_anomaly")
     agg = labelled.groupBy("vendor_name").agg(
@@ -341,9 +341,8 @@ def anomaly_summary(labelled: DataFrame) -> DataFrame:
         F.sum(flagged.cast("long")).alias("flagged_items"),
         F.sum("line_total").alias("total_spend_dec"),
         F.sum(F.when(flagged, F.col("line_total")).otherwise(F.lit(0))).alias("flagged_spend_dec"),
-        F.sum(F.col("z_score").cast("decimal(18,4)")).alias("z_sum"),
-        F.count("z_score").alias("z_n"),
-        F.max("z_score").alias("max_z"),
+        F.avg("z_score").alias("avg_z_score"),
+        F.max("z_score").alias("max_z_score"),
     )
     total = F.col("total_spend_dec").cast("double")
     fl_spend = F.col("flagged_spend_dec").cast("double")
@@ -353,10 +352,8 @@ def anomaly_summary(labelled: DataFrame) -> DataFrame:
         F.col("flagged_items").cast("long"),
         total.alias("total_spend"),
         fl_spend.alias("flagged_spend"),
-        round_ratio(
-            F.col("z_sum").cast("double") / F.nullif(F.col("z_n").cast("double"), F.lit(0.0)), 3
-        ).alias("avg_z_score"),
-        round_ratio("max_z", 4).alias("max_z_score"),
+        "avg_z_score",
+        "max_z_score",
         np_round(
             F.col("flagged_items").cast("double") / F.col("total_line_items").cast("double")
             * F.lit(100.0)

@@ -262,7 +262,7 @@ def iforest_fit(
 ) -> IsolationForestModel:
     """Fit an isolation forest on ``features`` of ``df``; ``row_key`` must be unique.
 
-    Reads ``df`` twice (count, sample): pass a checkpointed / file-backed DataFrame.
+    Reads ``df`` three times or more (count, sizes, sample): pass a checkpointed / file-backed DataFrame.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -273,19 +273,25 @@ def iforest_fit(
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty input")
     psi = int(min(max_samples, n))
-    keep_rate = min(1.0, n_trees * oversample * psi / n)
-    tree_rate = min(1.0, oversample * psi / (n * keep_rate))
-    keep_cut = int(keep_rate * HASH_RANGE)
-    tree_cut = int(tree_rate * HASH_RANGE)
-
-    kept = x if keep_rate >= 1.0 else x.where(F.pmod(F.col("_row_hash"), F.lit(HASH_RANGE)) < keep_cut)
-    trees = F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("_row_hash"), t), F.lit(HASH_RANGE)) < F.lit(tree_cut),
-    )
-    member = kept.select("*", F.explode(trees).alias("tree_id")).withColumn(
-        "_tree_hash", F.xxhash64(F.col("_row_hash"), F.col("tree_id"), F.lit(seed))
-    )
+    while True:
+        keep_rate = min(1.0, n_trees * oversample * psi / n)
+        tree_rate = min(1.0, oversample * psi / (n * keep_rate))
+        keep_cut = int(keep_rate * HASH_RANGE)
+        tree_cut = int(tree_rate * HASH_RANGE)
+
+        kept = x if keep_rate >= 1.0 else x.where(F.pmod(F.col("_row_hash"), F.lit(HASH_RANGE)) < keep_cut)
+        every = F.sequence(F.lit(0), F.lit(n_trees - 1))
+        trees = every if tree_rate >= 1.0 else F.filter(
+            every, lambda t: F.pmod(F.xxhash64(F.col("_row_hash"), t), F.lit(HASH_RANGE)) < F.lit(tree_cut)
+        )
+        member = kept.select("*", F.explode(trees).alias("tree_id")).withColumn(
+            "_tree_hash", F.xxhash64(F.col("_row_hash"), F.col("tree_id"), F.lit(seed))
+        )
+        # every tree gets exactly psi rows: draw more until the smallest has enough
+        full = member.groupBy("tree_id").count().where(F.col("count") >= psi).count()
+        if full == n_trees or tree_rate * keep_rate >= 1.0:
+            break
+        oversample *= 2
     w = Window.partitionBy("tree_id").orderBy("_tree_hash", "_row_hash")
     sample = member.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
     nodes = (

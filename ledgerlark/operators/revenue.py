@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exprs import (
+    asc_nulls_last,
     exact_avg,
     growth_pct,
     month_start,
@@ -100,11 +101,12 @@ def territory_growth(soh: DataFrame, territory: DataFrame, calendar_exact: bool
         w = Window.partitionBy("territory").orderBy("_month_no")
         with_lags = monthly.select(
             "*",
-            F.max("revenue").over(w.rangeBetween(-1, -1)).alias("prev_rev"),
-            F.max("revenue").over(w.rangeBetween(-12, -12)).alias("ly_rev"),
+            # a NULL month has no month before it
+            F.when(F.col("_month_no").isNotNull(), F.max("revenue").over(w.rangeBetween(-1, -1))).alias("prev_rev"),
+            F.when(F.col("_month_no").isNotNull(), F.max("revenue").over(w.rangeBetween(-12, -12))).alias("ly_rev"),
         )
     else:
-        w = Window.partitionBy("territory").orderBy("period_date")
+        w = Window.partitionBy("territory").orderBy(asc_nulls_last("period_date"))
         with_lags = monthly.select(
             "*",
             F.lag("revenue", 1).over(w).alias("prev_rev"),
@@ -121,7 +123,7 @@ def territory_growth(soh: DataFrame, territory: DataFrame, calendar_exact: bool
         growth_pct("revenue", "prev_rev").alias("mom_growth_pct"),
         F.col("ly_rev").cast("double").alias("same_month_last_year"),
         growth_pct("revenue", "ly_rev").alias("yoy_growth_pct"),
-    ).orderBy("territory", "period")
+    ).orderBy(asc_nulls_last("territory"), asc_nulls_last("period"))
 
 
 def territory_yoy_variance(territory: DataFrame) -> DataFrame:

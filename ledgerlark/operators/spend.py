@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exprs import (
+    asc_nulls_last,
     exact_avg,
     lead_days,
     month_start,
@@ -197,7 +198,7 @@ def monthly_spend_vs_revenue(
     )
     spend_c = F.coalesce(F.col("total_spend"), F.lit(0).cast("decimal(38,2)"))
     joined = revenue.join(spend, "month", "left").withColumn("spend_c", spend_c)
-    w = Window.orderBy("month")
+    w = Window.orderBy(asc_nulls_last("month"))
     return joined.select(
         year_month("month").alias("period"),
         F.col("month").alias("period_date"),
@@ -206,4 +207,4 @@ def monthly_spend_vs_revenue(
         F.col("order_count").cast("long"),
         pct("spend_c", "total_revenue").alias("spend_to_revenue_ratio_pct"),
         F.lag("spend_c").over(w).cast("double").alias("prior_month_spend"),
-    ).orderBy("period_date")
+    ).orderBy(asc_nulls_last("period_date"))

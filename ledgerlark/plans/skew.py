@@ -5,8 +5,7 @@ whose statistics side is an aggregate, so AQE's skew-join rule (which needs plai
 shuffle stages on both sides) cannot split a hot key.  Here it is split explicitly:
 
   * a group is *hot* when it holds at least ``split`` rows: the average
-    shuffle-partition size (``total / spark.sql.shuffle.partitions``), at least
-    ``min_rows``.  There are therefore at most ``spark.sql.shuffle.partitions`` hot
+    shuffle-partition size (``total / spark.sql.shuffle.partitions``).  There are therefore at most ``spark.sql.shuffle.partitions`` hot
     groups: the hot-key list has a proven bound, is collected and broadcast;
   * each row of a hot group gets a salt in ``[0, ceil(count / split))`` from a
     hash of its row key; the hot group's single statistics row is replicated once
@@ -14,8 +13,9 @@ shuffle stages on both sides) cannot split a hot key.  Here it is split explicit
   * the join runs on (key, salt), so a hot group is spread over many tasks.
 
 The statistics are checkpointed once (one row per group) because they are read three
-times; without hot groups the join is the plain left join against that checkpoint.
-The result equals the plain left join (every row meets exactly its group's row).
+times.  Keys are compared null-safe: rows with a NULL key are a group like any other,
+meet its statistics and are salted with it.  The result equals the plain null-safe left
+join (every row meets exactly its group's row).
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from ledgerlark.session import checkpoint
 
 SALT = "_salt"
 N_SALT = "_n_salt"
-MIN_ROWS_CONF = "ledgerlark.skew.minRows"
 LINE_ID_COLS = ("purchaseorderid", "vendorid", "purchaseorderdetailid", "productid")
 
 
@@ -37,49 +36,50 @@ def line_row_key(df: DataFrame) -> list[str]:
     return [c for c in LINE_ID_COLS if c in df.columns]
 
 
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where NULL equals NULL; key columns come from the left."""
+    right = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return left.join(right, on, "left").drop(*(f"_right_{k}" for k in keys))
+
+
 def join_group_stats(
     rows: DataFrame,
     stats: DataFrame,
     keys: list[str],
     count_col: str,
     row_key: list[str],
-    min_rows: int | None = None,
-    max_salts: int = 4096,
 ) -> DataFrame:
-    """``rows LEFT JOIN stats USING (keys)`` with hot groups salted."""
+    """``rows`` left-joined null-safe to ``stats`` on ``keys``, with hot groups salted."""
     spark = rows.sparkSession
-    if min_rows is None:
-        min_rows = int(spark.conf.get(MIN_ROWS_CONF, "100000"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # statistics are read three times (total, hot list, join): write them once; they
-    # hold one row per group, far fewer than the rows
+    # statistics are read three times (total, hot list, join): write them once
     stats = checkpoint(stats)
     total = stats.agg(F.sum(count_col)).first()[0] or 0
-    split = max(min_rows, -(-total // parts))
+    split = max(1, -(-total // parts))
     # at most `parts` groups can hold total / parts rows each: a bounded list
     hot_rows = (
         stats.where(F.col(count_col) >= split)
         .select(
             *keys,
-            F.least(F.lit(max_salts), F.ceil(F.col(count_col) / F.lit(split)))
-            .cast("int")
-            .alias(N_SALT),
+            F.ceil(F.col(count_col) / F.lit(split)).cast("int").alias(N_SALT),
         )
         .collect()
     )
-    if not hot_rows:
-        return rows.join(stats, keys, "left")
     hot = spark.createDataFrame(hot_rows, stats.select(*keys).schema.add(N_SALT, T.IntegerType()))
     hot_b = F.broadcast(hot)
-    salted_rows = rows.join(hot_b, keys, "left").withColumn(
+    salted_rows = _null_safe_left(rows, hot_b, keys).withColumn(
         SALT,
         F.when(
             F.col(N_SALT).isNotNull(),
             F.pmod(F.xxhash64(*[F.col(c) for c in row_key]), F.col(N_SALT)),
         ).otherwise(F.lit(0)).cast("int"),
     ).drop(N_SALT)
-    salted_stats = stats.join(hot_b, keys, "left").withColumn(
+    salted_stats = _null_safe_left(stats, hot_b, keys).withColumn(
         SALT,
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col(N_SALT), F.lit(1)) - 1)),
     ).drop(N_SALT)
-    return salted_rows.join(salted_stats, [*keys, SALT], "left").drop(SALT)
+    return _null_safe_left(salted_rows, salted_stats, [*keys, SALT]).drop(SALT)

@@ -40,11 +40,6 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor, and a broadcast hash table
-        # is built by one thread while a shuffle join uses every core
-        conf["spark.driver.memory"] = "8g"
-        conf["spark.sql.autoBroadcastJoinThreshold"] = str(1 << 20)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -63,8 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (local tests) a fresh folder under the system
-    temp dir is created.
+    Only a local master gets a fresh folder under the system temp dir when nothing is
+    configured; executors on other machines could not read one, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="ledgerlark-ckpt-")
     sc.setCheckpointDir(configured)
@@ -85,13 +82,6 @@ def checkpoint(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return max(1, int(spark.sparkContext.defaultParallelism))
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        return int(os.environ.get("BENCH_CPUS", "8"))
-
-
 _PACKAGE_ZIP: str | None = None
 _SHIPPED: set = set()
 

@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 
 def _plain_number(c: F.Column) -> F.Column:
-    """DOUBLE as plain decimal text (no exponent): up to 10 decimals, trailing zeros
-    trimmed but one kept after the point (``0.0``, ``866774125.69``); NULL, NaN -> empty."""
-    fixed = F.format_string("%.10f", c)
-    trimmed = F.regexp_replace(fixed, r"0+$", "")
-    text = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    """DOUBLE as the shortest text that reads back as the same number (``0.0``,
+    ``866774125.69``); exponents only below 0.001 and from 1e27; NULL, NaN -> empty.
+
+    From 1e7 on the shortest text has at most 10 decimals, so the decimal is exact."""
+    short = c.cast("double").cast("string")
+    large = (F.abs(c) >= 1e7) & (F.abs(c) < 1e27)
+    plain = F.regexp_replace(F.when(large, short.cast("decimal(38,10)")).cast("string"), r"0+$", "")
+    text = F.when(large, F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)).otherwise(short)
     return F.when(c.isNull() | F.isnan(c), F.lit(None)).otherwise(text)
 
 

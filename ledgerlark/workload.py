@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlark import reports
+from ledgerlark.functions.exprs import round_ratio
 from ledgerlark.operators import anomaly, iforest, revenue, spend
 from ledgerlark.session import checkpoint
 from ledgerlark.sources.standin import standin
@@ -91,24 +93,13 @@ def _featured(spark, sf_dir):
 _detect = reports.detect
 
 
-_MODELS: dict = {}
-
-
-def _fitted_model(spark, sf_dir, featured_ckpt):
-    """Fit once per session and input directory (the fit is deterministic)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = reports.fit_forest(featured_ckpt)
-    return _MODELS[key]
-
-
 def _labelled_fixed(spark, sf_dir):
     return _detect(_featured(spark, sf_dir), iforest.fixed_forest(anomaly.FEATURES))
 
 
 def _labelled_iforest(spark, sf_dir):
     featured = checkpoint(_featured(spark, sf_dir))
-    return _detect(featured, _fitted_model(spark, sf_dir, featured))
+    return _detect(featured, reports.fit_forest(featured))
 
 
 def _price_deviation_flags(spark, sf_dir):
@@ -157,12 +148,12 @@ def _standardize(spark, sf_dir):
 
 def _iforest_model(spark, sf_dir):
     featured = checkpoint(_featured(spark, sf_dir))
-    return _fitted_model(spark, sf_dir, featured).to_dataframe(spark)
+    return reports.fit_forest(featured).to_dataframe(spark)
 
 
 def _iforest_scores(spark, sf_dir):
     featured = checkpoint(_featured(spark, sf_dir))
-    model = _fitted_model(spark, sf_dir, featured)
+    model = reports.fit_forest(featured)
     return anomaly.as_report(
         iforest.iforest_score(featured, model).select(*LINE_ID_COLS, "anomaly_raw"),
         round_features=6,
@@ -196,8 +187,15 @@ def _anomaly_report(spark, sf_dir):
     return anomaly.as_report(anomaly.anomaly_report(_labelled_fixed(spark, sf_dir)), round_features=6)
 
 
+def _compared(summary):
+    """z statistics rounded for the value comparison with SQL (adding 0 drops the sign of -0)."""
+    return summary.withColumns({
+        c: round_ratio(c, n) + F.lit(0.0) for c, n in (("avg_z_score", 3), ("max_z_score", 4))
+    })
+
+
 def _anomaly_summary(spark, sf_dir):
-    return anomaly.anomaly_summary(_labelled_fixed(spark, sf_dir))
+    return _compared(anomaly.anomaly_summary(_labelled_fixed(spark, sf_dir)))
 
 
 def _anomaly_breakdown(spark, sf_dir):
@@ -213,7 +211,7 @@ def _anomaly_report_iforest(spark, sf_dir):
 
 
 def _anomaly_summary_iforest(spark, sf_dir):
-    return anomaly.anomaly_summary(_labelled_iforest(spark, sf_dir))
+    return _compared(anomaly.anomaly_summary(_labelled_iforest(spark, sf_dir)))
 
 
 def _anomaly_breakdown_iforest(spark, sf_dir):

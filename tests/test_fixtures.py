@@ -282,3 +282,42 @@ def test_approximate_contamination_threshold_is_close(spark):
     # rank error of the sketch is at most n / accuracy = 0.2 rows here
     ranks = np.searchsorted(np.sort(vals), [exact, approx])
     assert abs(int(ranks[0]) - int(ranks[1])) <= 2
+
+
+def test_lag_puts_null_months_last(spark):
+    from ledgerlark.operators import revenue
+
+    orders = spark.createDataFrame(
+        [(1, None, 1, 7.0), (2, "2000-01-05", 1, 100.0), (3, "2000-02-05", 1, 150.0)],
+        "salesorderid long, d string, territoryid long, total double",
+    ).selectExpr(
+        "salesorderid", "cast(d as timestamp_ntz) orderdate", "territoryid", "salesorderid customerid",
+        "cast(total as decimal(19,4)) totaldue", "cast(total as decimal(19,4)) subtotal",
+    )
+    territory = spark.createDataFrame([(1, "T", "G", "US")], "territoryid long, name string, `group` string, countryregioncode string")
+    for exact in (False, True):
+        out = revenue.territory_growth(orders, territory, calendar_exact=exact).collect()
+        assert [r["period"] for r in out][:2] == ["2000-01", "2000-02"] and out[2]["period"] is None
+        assert [r["prev_month_revenue"] for r in out][:2] == [None, 100.0]
+
+
+def test_csv_doubles_read_back_exactly(spark, tmp_path):
+    from ledgerlark.sources.sinks import write_csv
+
+    values = [1.2345678901234567, 3e-11, 0.1 + 0.2, 866774125.69, 12345678.123456789, -0.0, 1e27, 5e-324, 123456789012.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    write_csv(df, str(tmp_path / "csv"))
+    back = {r["k"]: float(r["x"]) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).selectExpr("int(k) k", "x").collect()}
+    assert [back[k] for k in range(len(values))] == values
+
+
+def test_every_tree_gets_exactly_psi_rows(spark):
+    from ledgerlark.operators import iforest
+
+    df = spark.range(3000).selectExpr("id", "rand(1) a", "rand(2) b")
+    for psi in (2, 16, 256):
+        model = iforest.iforest_fit(df, ["a", "b"], row_key=["id"], n_trees=40, max_samples=psi, seed=3)
+        sizes = {}
+        for r in model.to_dataframe(spark).where("node_id = 0").collect():
+            sizes[r["tree_id"]] = r["size"]
+        assert set(sizes.values()) == {psi} and len(sizes) == 40

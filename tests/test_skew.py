@@ -15,7 +15,6 @@ SKEW_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    "ledgerlark.skew.minRows": "100",
 }
 
 
@@ -101,7 +100,25 @@ def test_salted_join_spreads_hot_group(spark):
     assert buckets > 1
     plain = lines.join(stats, ["vendorid", "productid"], "left")
     via = skew.join_group_stats(lines, stats, ["vendorid", "productid"], "n",
-                                ["purchaseorderid", "vendorid", "purchaseorderdetailid", "productid"],
-                                min_rows=100)
+                                ["purchaseorderid", "vendorid", "purchaseorderdetailid", "productid"])
     assert via.count() == plain.count() == lines.count()
     assert via.exceptAll(plain.select(*via.columns)).count() == 0
+
+
+def test_null_group_meets_its_statistics_and_is_spread(spark):
+    """A NULL key is a group like any other, salted over several tasks."""
+    from pyspark.sql import functions as F
+
+    from ledgerlark.plans import skew
+
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("purchaseorderid")
+    )
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = _with_conf(
+        spark, SKEW_CONF,
+        lambda: skew.join_group_stats(rows, stats, ["k"], "n", ["purchaseorderid"])
+        .withColumn("task", F.spark_partition_id()).where("k is null").groupBy("n", "task").count().collect(),
+    )
+    assert {r["n"] for r in got} == {3000} and sum(r["count"] for r in got) == 3000
+    assert len(got) > 1 and max(r["count"] for r in got) < 3000
