@@ -76,12 +76,18 @@ def canonical(text: Column) -> Column:
     lines = F.regexp_replace(
         text, r"(?imu)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*)+(?:\(c\)|©|c\b|\d{4}|<|by\b|the\b|holders?\b|[\p{Lu}])[^\n]*$", "\n"
     )
-    folded = F.regexp_replace(F.lower(lines), r"[’']s\b", "s")
+    low = F.lower(text)
+    marked = low.contains("copyright") | low.contains("(c)") | text.contains("©")
+    folded = F.lower(F.when(marked, lines).otherwise(text))
+    folded = F.when(folded.rlike("[’']s"), F.regexp_replace(folded, r"[’']s\b", "s")).otherwise(folded)
+    ligature = folded
     for odd, plain in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        folded = F.replace(folded, F.lit(odd), F.lit(plain))
+        ligature = F.replace(ligature, F.lit(odd), F.lit(plain))
+    folded = F.when(folded.rlike("[ﬀ-ﬄ]"), ligature).otherwise(folded)
     words = F.trim(F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}]+", " "))
     same = F.create_map(*(F.lit(x) for pair in EQUIVALENT.items() for x in pair))
-    return F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(same[w], w)), " ")
+    unified = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(same[w], w)), " ")
+    return F.when(words.rlike(f"(?:^| )(?:{'|'.join(EQUIVALENT)})(?: |$)"), unified).otherwise(words)
 
 
 def digest(text: Column) -> Column:
