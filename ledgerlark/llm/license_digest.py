@@ -70,30 +70,41 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty if nothing is left."""
+def _then(value: Column, step) -> Column:
+    """``step(value)`` with the value worked out once, however often the step names it."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
+def _without_copyright(text: Column) -> Column:
     # a line that begins with a copyright sign or word and names a year or a holder
     lines = F.regexp_replace(
         text, r"(?imu)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*)+(?:\(c\)|©|c\b|\d{4}|<|by\b|the\b|holders?\b|[\p{Lu}])[^\n]*$", "\n"
     )
-    low = F.lower(text)
-    marked = low.contains("copyright") | low.contains("(c)") | text.contains("©")
-    folded = F.lower(F.when(marked, lines).otherwise(text))
-    folded = F.when(folded.rlike("[’']s"), F.regexp_replace(folded, r"[’']s\b", "s")).otherwise(folded)
-    ligature = folded
+    return F.when(text.rlike(r"(?i)copyright|\(c\)|©"), lines).otherwise(text)
+
+
+def _plain_signs(text: Column) -> Column:
+    out = F.regexp_replace(text, r"[’']s\b", "s")
     for odd, plain in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        ligature = F.replace(ligature, F.lit(odd), F.lit(plain))
-    folded = F.when(folded.rlike("[ﬀ-ﬄ]"), ligature).otherwise(folded)
-    words = F.trim(F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}]+", " "))
+        out = F.replace(out, F.lit(odd), F.lit(plain))
+    return F.when(text.rlike("[’'ﬀ-ﬄ]"), out).otherwise(text)
+
+
+def _unified(words: Column) -> Column:
     same = F.create_map(*(F.lit(x) for pair in EQUIVALENT.items() for x in pair))
-    unified = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(same[w], w)), " ")
-    return F.when(words.rlike(f"(?:^| )(?:{'|'.join(EQUIVALENT)})(?: |$)"), unified).otherwise(words)
+    out = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(same[w], w)), " ")
+    return F.when(words.rlike(f"(?:^| )(?:{'|'.join(EQUIVALENT)})(?: |$)"), out).otherwise(words)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; empty if nothing is left."""
+    folded = _then(F.lower(_then(text, _without_copyright)), _plain_signs)
+    return _then(F.trim(F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}]+", " ")), _unified)
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null if nothing is left."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return _then(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
