@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Characters of text that are bundled at once.
-GROUP_CHARS = 1 << 20
+#: Characters and texts that are read at once; counts held, and n-gram vectors made, at once.
+GROUP_CHARS, GROUP_TEXTS, GROUP_CELLS, GROUP_GRAMS = 1 << 20, 512, 1 << 24, 1 << 14
 #: A text's bundle enters a prototype as integers of about this scale.
 SCALE = 1 << 24
 
@@ -66,7 +66,7 @@ class Profile:
         return raw[(raw != 0) | np.append(True, raw[:-1] != 0)]
 
     def counts(self, texts: list[str]):
-        """``(counts, vectors)``: n-gram counts of each text, vector of each n-gram."""
+        """``(begin, counts, grams)``: n-gram counts of a run of texts, and their vectors."""
         coded = [self.codes(t) for t in texts]
         flat = np.concatenate([np.zeros(0, np.uint32), *coded])
         seen = np.zeros(0x110000, bool)
@@ -74,46 +74,65 @@ class Profile:
         alphabet = np.flatnonzero(seen)
         place = np.zeros(0x110000, np.int64)
         place[alphabet] = np.arange(len(alphabet))
-        if len(alphabet) ** self.order > 1 << 22:  # many letters: name the n-grams that occur
-            return self._counts(coded, alphabet, place, None)
-        return self._counts(coded, alphabet, place, len(alphabet) ** self.order)
-
-    def _counts(self, coded, alphabet, place, grams):
-        base, names, rows = max(1, len(alphabet)), [], []
-        for row, c in enumerate(coded):
+        base, names = max(1, len(alphabet)), []
+        for c in coded:
             n = max(0, len(c) - self.order + 1)
             name = np.zeros(n, np.int64)
             for k in range(self.order):
                 name = name * base + place[c[k : k + n]]
             names.append(name)
-            rows.append(n)
+        ends = np.cumsum([0, *(len(x) for x in names)])
         name = np.concatenate([np.zeros(0, np.int64), *names])
-        row = np.repeat(np.arange(len(coded)), rows)
-        if grams is None:
+        if base**self.order > 1 << 22:  # many letters: name the n-grams that occur
             known, at = np.unique(name, return_inverse=True)
         else:
-            held = np.zeros(max(1, grams), bool)
+            held = np.zeros(base**self.order, bool)
             held[name] = True
             known = np.flatnonzero(held)
             at = (np.cumsum(held) - 1)[name]
-        counts = np.bincount(row * max(1, len(known)) + at, minlength=len(coded) * max(1, len(known)))
-        counts = counts.reshape(len(coded), -1)[:, : len(known)].astype(np.float32)
-        vectors = np.ones((len(known), self.dims), np.float32)
-        letters = np.stack([_letter_vector(int(a), self.dims, self.seed) for a in alphabet]) if len(alphabet) else np.ones((1, self.dims), np.float32)
-        left = known.copy()
-        for k in range(self.order):  # the last letter is not rotated
-            vectors *= np.roll(letters, k, axis=1)[left % base]
-            left //= base
-        return counts, vectors
+        width, grams = max(1, len(known)), Grams(self, alphabet, known)
+        step = max(1, GROUP_CELLS // width)
+        for begin in range(0, len(texts), step):
+            end = min(len(texts), begin + step)
+            here = slice(ends[begin], ends[end])
+            row = np.repeat(np.arange(end - begin), np.diff(ends[begin : end + 1]))
+            found = np.bincount(row * width + at[here], minlength=(end - begin) * width)
+            yield begin, found.reshape(-1, width)[:, : len(known)].astype(np.float32), grams
+
+
+@dataclass(frozen=True)
+class Grams:
+    """The n-grams that occur in some texts, and their vectors, a block at a time."""
+
+    profile: Profile
+    alphabet: np.ndarray
+    known: np.ndarray
+
+    def bundle(self, weights: np.ndarray) -> np.ndarray:
+        """Rows of n-gram weights, each as the weighted sum of the n-grams' vectors."""
+        p, base = self.profile, max(1, len(self.alphabet))
+        out = np.zeros((len(weights), p.dims), np.int64 if weights.dtype == np.int64 else np.float64)
+        if not len(self.known):
+            return out
+        letters = np.stack([_letter_vector(int(a), p.dims, p.seed) for a in self.alphabet])
+        rolled = [np.roll(letters, k, axis=1) for k in range(p.order)]  # the last letter is not rotated
+        for s in range(0, len(self.known), GROUP_GRAMS):
+            left = self.known[s : s + GROUP_GRAMS]
+            vectors = np.ones((len(left), p.dims), np.float32)
+            for turned in rolled:
+                vectors *= turned[left % base]
+                left = left // base
+            out += weights[:, s : s + GROUP_GRAMS] @ vectors.astype(weights.dtype, copy=False)
+        return out
 
 
 def _groups(batch: pa.RecordBatch):
-    """Row ranges of about GROUP_CHARS characters, with their texts."""
+    """Row ranges of about GROUP_CHARS characters, or GROUP_TEXTS rows, with their texts."""
     begin, texts, size = 0, [], 0
     for i, t in enumerate(batch.column(0)):
         texts.append(t.as_py() or "")
         size += len(texts[-1])
-        if size >= GROUP_CHARS:
+        if size >= GROUP_CHARS or len(texts) >= GROUP_TEXTS:
             yield begin, texts
             begin, texts, size = i + 1, [], 0
     if texts:
@@ -128,14 +147,15 @@ def prototypes(docs: DataFrame, profile: Profile, text_col: str = "text", lang_c
         for b in batches:
             lang = b.column(1).to_pylist()
             for begin, texts in _groups(b):
-                counts, vectors = profile.counts(texts)
-                norm = np.sqrt((counts**2).sum(axis=1))
-                weight = np.divide(1, norm, out=np.zeros_like(norm), where=norm > 0)
                 label = np.array(lang[begin : begin + len(texts)])
-                for x in set(label.tolist()):
-                    mine = (label == x) & (norm > 0)
-                    if mine.any():
-                        got = np.rint((counts[mine].T @ weight[mine]).astype(np.float64) * SCALE).astype(np.int64) @ vectors.astype(np.int64)
+                for at, counts, grams in profile.counts(texts):
+                    mine = label[at : at + len(counts)]
+                    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts, dtype=np.float64))
+                    scale = np.divide(SCALE, norm, out=np.zeros_like(norm), where=norm > 0)
+                    # every text is rounded by itself: sums don't depend on who shares a batch
+                    labels = sorted(set(mine.tolist()))
+                    shares = [np.rint(counts[mine == x] * scale[mine == x, None]).sum(axis=0) for x in labels]
+                    for x, got in zip(labels, grams.bundle(np.array(shares).astype(np.int64)), strict=True):
                         sums[x] = sums.get(x, 0) + got
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["lang", "v"])
@@ -152,19 +172,19 @@ def prototypes(docs: DataFrame, profile: Profile, text_col: str = "text", lang_c
 def detect(text: Column, protos: dict[str, np.ndarray], profile: Profile) -> Column:
     """``struct(lang_pred, score)`` of a text; ``score`` is the cosine, 0 at least."""
     names = list(protos)
-    table = np.stack([protos[k] for k in names]).astype(np.float32) if names else np.zeros((0, profile.dims), np.float32)
+    table = np.stack([protos[k] for k in names]) if names else np.zeros((0, profile.dims))
 
     def run(col: pd.Series) -> pd.DataFrame:
         best, score = [], []
         for _, texts in _groups(pa.record_batch([pa.array(col, pa.string())], names=["t"])):
-            counts, vectors = profile.counts(texts)
-            bundle = counts @ vectors
-            norm = np.linalg.norm(bundle, axis=1)
-            known = (counts.sum(axis=1) > 0) & bool(names)
-            cos = bundle @ table.T / np.maximum(norm, 1e-30)[:, None] if names else np.zeros((len(texts), 1))
-            at = np.argmax(cos, axis=1)
-            best += [names[k] if ok else UNKNOWN for k, ok in zip(at, known, strict=True)]
-            score += [float(min(1.0, max(0.0, c[k]))) if ok else 0.0 for c, k, ok in zip(cos, at, known, strict=True)]
+            for _, counts, grams in profile.counts(texts):
+                bundle = grams.bundle(counts)
+                norm = np.sqrt((bundle * bundle).sum(axis=1))
+                known = (counts.sum(axis=1) > 0) & bool(names)
+                cos = np.round(bundle @ table.T / np.maximum(norm, 1e-30)[:, None], 12) if names else np.zeros((len(counts), 1))
+                at = np.argmax(cos, axis=1)
+                best += [names[k] if ok else UNKNOWN for k, ok in zip(at, known, strict=True)]
+                score += [float(min(1.0, max(0.0, c[k]))) if ok else 0.0 for c, k, ok in zip(cos, at, known, strict=True)]
         return pd.DataFrame({"lang_pred": best, "score": score}, columns=["lang_pred", "score"])
 
     run.__annotations__ = {"col": pd.Series, "return": pd.DataFrame}

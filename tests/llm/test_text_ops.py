@@ -187,7 +187,7 @@ def test_fullest_is_the_best_subset():
         assert sum(x * n for x, n in combo) == max(sums) and all(n <= lengths[x] for x, n in combo)
 
 
-def test_language_id(spark):
+def test_language_id(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(9001, None, "en"), (9002, "", "en"), (9003, "12 .. !", "fr"), (9004, "the and of", None), (None, "the", "en")], "doc_id long, text string, lang string")
     df = docs.select("doc_id", "text", "lang").unionByName(extra)
@@ -200,11 +200,17 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
     # a text's vector is the sum of its bound n-grams
     profile = hyper_lang.Profile(dims=64)
-    counts, vectors = profile.counts(["Ab-c!"])
+    ((_, counts, made),) = profile.counts(["Ab-c!"])
     v = {c: hyper_lang._letter_vector(c and ord(c), 64, 42) for c in (0, "a", "b", "c")}
     grams = [(0, "a", "b"), ("a", "b", 0), ("b", 0, "c"), (0, "c", 0)]
     want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z] for x, y, z in grams)
-    assert np.allclose(counts[0] @ vectors, want)
+    assert np.allclose(made.bundle(counts)[0], want)
+    # blocks change nothing
+    texts = ["Ab-c!", "", "zażółć gęślą jaźń " * 9, "the quick brown fox", "12", "漢字かな交じり文 " * 5]
+    whole = [g.bundle(c) for _, c, g in profile.counts(texts)]
+    monkeypatch.setattr(hyper_lang, "GROUP_CELLS", 40), monkeypatch.setattr(hyper_lang, "GROUP_GRAMS", 7)
+    cut = [g.bundle(c) for _, c, g in profile.counts(texts)]
+    assert len(cut) > len(whole) == 1 and np.array_equal(np.concatenate(cut), whole[0])
     assert hyper_lang.identify(df.limit(0), F.lit(True)).count() == 0
 
 
