@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNKNOWN = "und"
 #: Characters and texts that are read at once; counts held, and n-gram vectors made, at once.
-GROUP_CHARS, GROUP_TEXTS, GROUP_CELLS, GROUP_GRAMS = 1 << 20, 512, 1 << 24, 1 << 14
+GROUP_CHARS, GROUP_TEXTS, GROUP_CELLS, GROUP_GRAMS = 1 << 18, 512, 1 << 22, 1 << 12
 #: A text's bundle enters a prototype as integers of about this scale.
 SCALE = 1 << 24
 
@@ -111,7 +113,7 @@ class Grams:
     def bundle(self, weights: np.ndarray) -> np.ndarray:
         """Rows of n-gram weights, each as the weighted sum of the n-grams' vectors."""
         p, base = self.profile, max(1, len(self.alphabet))
-        out = np.zeros((len(weights), p.dims), np.int64 if weights.dtype == np.int64 else np.float64)
+        out = np.zeros((len(weights), p.dims))
         if not len(self.known):
             return out
         letters = np.stack([_letter_vector(int(a), p.dims, p.seed) for a in self.alphabet])
@@ -155,8 +157,8 @@ def prototypes(docs: DataFrame, profile: Profile, text_col: str = "text", lang_c
                     # every text is rounded by itself: sums don't depend on who shares a batch
                     labels = sorted(set(mine.tolist()))
                     shares = [np.rint(counts[mine == x] * scale[mine == x, None]).sum(axis=0) for x in labels]
-                    for x, got in zip(labels, grams.bundle(np.array(shares).astype(np.int64)), strict=True):
-                        sums[x] = sums.get(x, 0) + got
+                    for x, got in zip(labels, grams.bundle(np.array(shares)), strict=True):
+                        sums[x] = sums.get(x, 0) + got.astype(np.int64)  # whole numbers below 2 ** 53
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["lang", "v"])
 
@@ -196,6 +198,7 @@ def identify(docs: DataFrame, taught: Column, profile: Profile | None = None, te
 
     Learns from the rows where ``taught`` holds.
     """
+    small_batches(docs.sparkSession)
     profile = profile or Profile()
     protos = prototypes(docs.where(taught), profile, text_col, lang_col)
     return docs.withColumn("language", detect(F.col(text_col), protos, profile))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, partitions, spool, union_labels
+from .common import components, discard, partitions, small_batches, spool, union_labels
 
 #: Fingerprints in one block of a task, at most.
 BLOCK_ROWS = 1 << 17
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([text_fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, spool
+from .common import partitions, small_batches, spool
 
 #: Words whose ids a Python worker remembers, at most.
 CACHE_WORDS = 350_000
@@ -146,6 +146,7 @@ def token_pieces(
                 cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.record_batch(list(cols.values()), names=list(cols))
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
