@@ -35,7 +35,7 @@ from .common import components, discard, partitions, small_batches, spool, union
 #: Fingerprints in one block of a task, at most.
 BLOCK_ROWS = 1 << 17
 #: Node pairs expanded at once inside a task.
-PAIR_CHUNK = 1 << 19
+PAIR_CHUNK = 1 << 16
 
 
 def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:

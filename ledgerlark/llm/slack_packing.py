@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from itertools import chain
 
@@ -40,7 +41,11 @@ GROUP_CHARS = 1 << 20
 #: Latin letters that stand alone in NFC, and punctuation without the apostrophe.
 _LATIN, _SIGNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ".,;:!?"
 
+#: Seconds for which a Python worker keeps its words after a task, for the next one.
+KEEP_SECONDS = 3.0
+
 _TOKENIZERS: dict = {}
+_RELEASE: list[threading.Timer] = []
 
 
 class WordIds:
@@ -116,12 +121,22 @@ def _groups(texts: pa.Array):
 
 
 def word_ids(path: str) -> WordIds:
-    """This worker's tokenizer for a file."""
+    """This worker's tokenizer for a file; give it back with :func:`release`."""
+    while _RELEASE:
+        _RELEASE.pop().cancel()
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordIds(path)
     return _TOKENIZERS[path]
 
 
+def release() -> None:
+    """Forget the words soon, so that a later stage's tasks in this worker have the memory."""
+    timer = threading.Timer(KEEP_SECONDS, _TOKENIZERS.clear)
+    timer.daemon = True
+    _RELEASE.append(timer)
+    timer.start()
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
     text_col: str = "text", with_ids: bool = False,
@@ -130,21 +145,24 @@ def token_pieces(
 
     def run(batches):
         encode = word_ids(tokenizer)
-        for b in batches:
-            at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, got in enumerate(chain.from_iterable(map(encode, _groups(b.column(1))))):
-                got = np.append(got, np.uint32(end_id)).astype("<u4")
-                for p, s in enumerate(range(0, len(got), capacity)):
-                    part = got[s : s + capacity]
-                    at.append(i), piece.append(p), start.append(s), length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if with_ids:
-                        ids.append(part.astype(np.int32))
-            cols = {"id": b.column(0).take(pa.array(at, pa.int64())), "piece": pa.array(piece, pa.int32())}
-            cols |= {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc))}
-            if with_ids:
-                cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.record_batch(list(cols.values()), names=list(cols))
+        try:
+            for b in batches:
+                at, piece, start, length, crc, ids = [], [], [], [], [], []
+                for i, got in enumerate(chain.from_iterable(map(encode, _groups(b.column(1))))):
+                    got = np.append(got, np.uint32(end_id)).astype("<u4")
+                    for p, s in enumerate(range(0, len(got), capacity)):
+                        part = got[s : s + capacity]
+                        at.append(i), piece.append(p), start.append(s), length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        if with_ids:
+                            ids.append(part.astype(np.int32))
+                cols = {"id": b.column(0).take(pa.array(at, pa.int64())), "piece": pa.array(piece, pa.int32())}
+                cols |= {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc))}
+                if with_ids:
+                    cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.record_batch(list(cols.values()), names=list(cols))
+        finally:
+            release()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
