@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, spool
+from .common import discard, partitions, small_batches, spool
 
 #: Bytes of an anchor name.
 ANCHOR = 24
@@ -357,6 +357,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if not 40 <= length <= 60:
         raise ValueError("length must be 40 to 60 bytes")
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     hot = _hot_names(src, length)
@@ -434,8 +435,9 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
 
     run.__annotations__ = {"texts": pd.Series, "starts": pd.Series, "counts": pd.Series, "return": pd.Series}
     keyed = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")
+        F.struct(*(c for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")
     )
     both = keyed.join(gathered, ["id", "tkey"], "left")
-    cut = F.pandas_udf(run, "string")("text", "starts", "counts")
+    # a filter on the result would otherwise move below it and cut every text twice
+    cut = F.pandas_udf(run, "string").asNondeterministic()("text", "starts", "counts")
     return both.select(*(cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -37,7 +37,7 @@ CACHE_WORDS = 350_000
 CACHE_RUNS = 600_000
 
 #: Characters of text that are split at once.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: Latin letters that stand alone in NFC, and punctuation without the apostrophe.
 _LATIN, _SIGNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ".,;:!?"
 
@@ -87,7 +87,8 @@ class WordIds:
         for w in words:
             run = w.rstrip(_SIGNS)
             if run.isalpha() and run.isascii() or not run or _LATIN(run):
-                plain.append((w, run.lower(), w[len(run) :]))
+                low = run.lower()  # most words are so already: one string for both memories
+                plain.append((w, run if low == run else low, w[len(run) :]))
             else:
                 odd.append(w)
         runs = {r for _, a, b in plain for r in (a, b)}.difference(self.runs)
