@@ -279,13 +279,16 @@ def _window_rows(length: int):
 
     def run(batches):
         def flush(parts):
-            a, b, doc, key, pos = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            n = [len(p[0]) for p in parts]
+            doc, key = (np.repeat(np.array([p[k] for p in parts], np.int64), n) for k in (2, 3))
+            a, b, pos = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 4))
+            parts.clear()  # not held while the rows go out
             keep = _first_docs(a, b, doc)
             yield _rows({
                 "name": a[keep].view(np.int64), "pair": b[keep].view(np.int64), "id": doc[keep], "tkey": key[keep],
                 "start": pos[keep].astype(np.int32), "windows": np.ones(int(keep.sum()), np.int32),
             })
-            i, k, s, w = _merged(doc[~keep], key[~keep], pos[~keep], np.ones(int((~keep).sum()), np.int64), length)
+            i, k, s, w = _merged(doc[~keep], key[~keep], pos[~keep].astype(np.int64), np.ones(int((~keep).sum()), np.int64), length)
             r = _mix(i.view(np.uint64), s.astype(np.uint64)).view(np.int64)
             yield _rows({"name": r, "pair": r, "id": i, "tkey": k, "start": s.astype(np.int32), "windows": (-w).astype(np.int32)})
 
@@ -300,7 +303,7 @@ def _window_rows(length: int):
                     if not len(pos):
                         continue
                     n32 = doubled(data[at : at + PIECE + length], (32,))[32]
-                    parts.append((n32[pos], n32[pos + length - 32], np.full(len(pos), i.as_py()), np.full(len(pos), k.as_py()), pos + at))
+                    parts.append((n32[pos], n32[pos + length - 32], i.as_py(), k.as_py(), (pos + at).astype(np.int32)))
                     size += len(pos)
                     if size >= CHUNK_BYTES // 8:
                         yield from flush(parts)
