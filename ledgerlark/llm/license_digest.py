@@ -4,7 +4,8 @@ A text is brought to a canonical form: compatible Unicode forms and case folded,
 copyright lines dropped, equivalent spellings unified, every run of signs that are
 neither letters nor digits one blank.  Its SHA-256 digest is joined with the digests of
 known licence texts brought to the same form, so whole texts match whole texts whatever
-their case, punctuation, wrapping or copyright holder.
+their case, punctuation, wrapping or copyright holder.  A copyright line goes as one line:
+where it is itself wrapped, its first line alone goes.
 
 Known texts are full licence texts and the short notices that stand for them; both are
 a table ``(licence, text)`` and can be replaced.  ``unit="text"`` matches the whole
@@ -75,12 +76,26 @@ def _then(value: Column, step) -> Column:
     return F.element_at(F.transform(F.array(value), step), 1)
 
 
+# A line that states a copyright.  After the word or sign comes a year or
+# its placeholder, an angle bracket or "by"; or the word has a sign beside it; or it is written
+# "Copyright" and no running text follows.  "copyright notice", "COPYRIGHT HOLDERS BE LIABLE"
+# and "(c) You must" are running text, wherever a line breaks.
+_GAP, _BLANK = r"[^\p{L}\p{N}\n<]*", r"[ \t:,]*"
+_RUNNING = (
+    r"(?!(?i:notices?|holders?|owners?|licen[cs]es?|laws?|acts?|treaty|treaties|rights?|interests?|status|statements?"
+    r"|office|protection|information|and|or|nor|in|on|of|to|for|with|is|are|as|may|shall|must|this|that|if|you|your|also|means)\b)"
+)
+_COPYRIGHT_LINE = (
+    rf"(?mu)^[^\p{{L}}\p{{N}}\n]*(?:"
+    rf"(?:(?i:copyright|\(c\)|©){_GAP})+(?i:\d{{4}}\b|<|by\b|yyyy\b)"
+    rf"|(?i:copyright){_BLANK}(?i:\(c\)|©){_BLANK}{_RUNNING}\p{{L}}"
+    rf"|(?:(?i:\(c\)){_BLANK})?(?:Copyright|©){_BLANK}{_RUNNING}\p{{L}}"
+    r")[^\n]*$"
+)
+
+
 def _without_copyright(text: Column) -> Column:
-    # a line that begins with a copyright sign or word and names a year or a holder
-    lines = F.regexp_replace(
-        text, r"(?imu)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*)+(?:\(c\)|©|c\b|\d{4}|<|by\b|the\b|holders?\b|[\p{Lu}])[^\n]*$", "\n"
-    )
-    return F.when(text.rlike(r"(?i)copyright|\(c\)|©"), lines).otherwise(text)
+    return F.when(text.rlike(r"(?i)copyright|\(c\)|©"), F.regexp_replace(text, _COPYRIGHT_LINE, "\n")).otherwise(text)
 
 
 def _plain_signs(text: Column) -> Column:

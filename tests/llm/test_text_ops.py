@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -281,6 +282,30 @@ def test_licences(spark):
     assert rows(lines) == [(5, 1, "MIT"), (9, 0, "Apache-2.0")]
 
 
+def wrapped(text, width):
+    """Paragraphs wrapped; copyright lines stay whole."""
+    parts = (p if "<year>" in p else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+    return "\n\n".join(parts)
+
+
+def test_licences_at_every_width(spark):
+    whole = [(name, text) for name, text in license_digest.KNOWN if len(text) > 500]
+    # upper case after wrapping, as "<year>" marks the line that stays whole
+    docs = [f(wrapped(text, w)) for _, text in whole for f in (str, str.upper) for w in range(12, 130)]
+    got = Counter(r["licence"] for r in license_digest.scan(frame(spark, list(enumerate(docs)))).collect())
+    assert got == {name: 236 for name, _ in whole}
+
+
+def test_copyright_lines(spark):
+    gone = ["Copyright (c) 2019 X", "(c) 2019 X", "© 2019, X", "Copyright 2019-2021 X", "COPYRIGHT (C) 2020 X", "copyright by X", "Copyright (c) <year> <holders>",
+            "Copyright [yyyy] [name of copyright owner]", " * Copyright npm, Inc.", "Copyright: Jane Doe", "Copyright © Jane Doe", "Copyright The Authors", "© Jane Doe"]
+    kept = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "(c) You must retain",
+            "Copyright License. Subject to", "\"Copyright\" also means copyright-like laws", "Copyright Treaty adopted on", "copyright owner that is granting", "(c) Copyright and Similar Rights"]
+    df = spark.createDataFrame([(t,) for t in gone + kept], "text string").select("text", license_digest.canonical(F.col("text")).alias("form"))
+    form = {r["text"]: r["form"] for r in df.collect()}
+    assert [t for t in gone if form[t]] == [] and [t for t in kept if not form[t]] == []
+
+
 def test_pieces(spark):
     docs = corpus(10, 40) + [(600, "日本 𝕏  two\tx "), (601, " lead"), (602, "\x00")]
     coded = unigram_pieces.encode(frame(spark, docs), PIECES)
