@@ -7,8 +7,8 @@ known licence texts brought to the same form, so whole texts match whole texts w
 their case, punctuation, wrapping or copyright holder.  A copyright line goes as one line:
 where it is itself wrapped, its first line alone goes.
 
-Known texts are full licence texts and the short notices that stand for them; both are
-a table ``(licence, text)`` and can be replaced.  ``unit="text"`` matches the whole
+Known are the digests of full licence texts (``license_table``) and short notices that
+stand for a licence; a table ``(licence, text)`` can replace both.  ``unit="text"`` matches the whole
 text; ``unit="line"`` matches every line of it, each as a whole.
 
 Edge cases: null and empty texts, and texts with no letter or digit left, match
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_table import DIGESTS
+
 # Spellings that licence matching treats as the same word.
 EQUIVALENT = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing",
@@ -35,8 +37,8 @@ EQUIVALENT = {
     "v1": "version 1", "v2": "version 2", "v3": "version 3", "https": "http",
 }
 
-# Short notices and short licence texts, as they are published.
-KNOWN = [
+# Notices that stand for a licence.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -46,6 +48,10 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+]
+
+# Short licence texts; digests of these and of longer ones are in ``license_table``.
+TEXTS = [
     (
         "MIT",
         """MIT License
@@ -70,6 +76,8 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ),
 ]
 
+KNOWN = NOTICES + TEXTS
+
 
 def _then(value: Column, step) -> Column:
     """``step(value)`` with the value worked out once, however often the step names it."""
@@ -123,9 +131,15 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(digest, licence)`` of known texts, one row per canonical form."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "licence string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "licence").where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
+    """``(digest, licence)`` of known texts, one row per canonical form.
+
+    Without ``known``: of ``KNOWN`` and of the digest table.
+    """
+    texts = spark.createDataFrame(KNOWN if known is None else known, "licence string, text string")
+    rows = texts.select(digest(F.col("text")).alias("digest"), "licence").where("digest is not null")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame([(d, name) for name, ds in DIGESTS.items() for d in ds], "digest string, licence string"))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(

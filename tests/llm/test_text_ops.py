@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import textwrap
 import zlib
@@ -306,6 +307,51 @@ def test_copyright_lines(spark):
     assert [t for t in gone if form[t]] == [] and [t for t in kept if not form[t]] == []
 
 
+BSD_2 = """Copyright (c) 2012, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+CLAUSE_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>
+"""
+SHIPPED = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_full_licence_texts(spark):
+    mit = license_digest.TEXTS[0][1].removeprefix("MIT License\n\n")
+    texts = [
+        ("BSD-2-Clause", BSD_2 % ""), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_2 % CLAUSE_3), ("Unlicense", UNLICENSE), ("MIT", mit),
+        ("MIT", "The MIT License (MIT)\n\n" + mit.replace("<year> <holders>", "2015 Jane Doe")), (None, UNLICENSE.replace("is free to", "may")),
+    ]
+    folder = "/usr/share/common-licenses"
+    if os.path.isdir(folder):  # as Debian ships them
+        for name, licence in SHIPPED.items():
+            with open(f"{folder}/{name}") as f:
+                texts.append((licence, f.read()))
+    got = {r["doc_id"]: r["licence"] for r in license_digest.scan(frame(spark, [(k, t) for k, (_, t) in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(len(texts))] == [licence for licence, _ in texts]
+
+
 def test_pieces(spark):
     docs = corpus(10, 40) + [(600, "日本 𝕏  two\tx "), (601, " lead"), (602, "\x00")]
     coded = unigram_pieces.encode(frame(spark, docs), PIECES)
