@@ -131,48 +131,54 @@ def _links(tables: E8Tables, threshold: float):
         tab = key[1].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         x, norm, unit = _unit(matrix(table["vec"]))
-        got_a, got_b = [], []
-        step = max(1, (1 << 22) // max(1, len(left)))
+        ids, place = np.unique(rep, return_inverse=True)
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        held = {}  # by table: cells of the rows that a pair needed so far, and which those are
+
+        def cells(t, a, b):
+            if t not in held:
+                held[t] = np.zeros((len(rep), 1 + tables.probes), np.int64), np.zeros(len(rep), bool)
+            known, have = held[t]
+            need = np.zeros(len(rep), bool)
+            need[a], need[b] = True, True
+            new = np.flatnonzero(need & ~have)
+            if len(new):
+                known[new], have[new] = tables.cells(unit[new], t), True
+            return known[a], known[b]
+
+        step = max(1, (1 << 20) // max(1, len(left)))
         for at in range(0, len(right), step) if len(left) else ():
             r = right[at : at + step]
             ri, li = np.nonzero(unit[r] @ unit[left].T >= threshold - 1e-9)
-            a, b = left[li], r[ri]
-            # two homes meet twice here; a probing row meets a home once
-            fit = (rep[a] != rep[b]) & (~home[b] | (rep[a] < rep[b]))
-            a, b = a[fit], b[fit]
-            for k in range(0, len(a), 1 << 16):
-                p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                near = (x[p] * x[q]).sum(axis=1) / (norm[p] * norm[q]) >= threshold
-                got_a.append(p[near]), got_b.append(q[near])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *g]) for g in (got_a, got_b))
-        # the forest takes all pairs of this cell, the counts those that meet here first
-        ids, place = np.unique(rep, return_inverse=True)
-        label = union_labels(len(ids), place[a], place[b])
+            # pairs of a chunk are reduced before the next: a hot group has many
+            for k in range(0, len(ri), 1 << 16):
+                a, b = left[li[k : k + (1 << 16)]], r[ri[k : k + (1 << 16)]]
+                # two homes meet twice here; a probing row meets a home once
+                fit = (rep[a] != rep[b]) & (~home[b] | (rep[a] < rep[b]))
+                a, b = a[fit], b[fit]
+                near = (x[a] * x[b]).sum(axis=1) / (norm[a] * norm[b]) >= threshold
+                a, b = a[near], b[near]
+                # the forest takes all pairs of this cell, the counts those that meet here first
+                label = union_labels(len(ids), place[a], place[b], label)
+                for t in range(tab):
+                    if len(a):
+                        other = ~_first_meeting(*cells(t, a, b))
+                        a, b = a[other], b[other]
+                # in this table: a home pair meets at home; else a probe of b holds a's home,
+                # and if a probes b's home too the pair is counted where a is the smaller
+                if len(a):
+                    of_a, of_b = cells(tab, a, b)
+                    back = (of_a[:, 1:] == of_b[:, :1]).any(axis=1)
+                    first = home[b] | ~back | (rep[a] < rep[b])
+                    a, b = a[first], b[first]
+                np.add.at(links, place[a], n[b])
+                np.add.at(links, place[b], n[a])
         tied = np.flatnonzero(label != np.arange(len(ids)))
-        if len(a):
-            used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-            ia, ib = where[: len(a)], where[len(a) :]
-            first = np.ones(len(a), bool)
-            for t in range(tab):
-                cells = tables.cells(unit[used], t)
-                for k in range(0, len(a), 1 << 18):
-                    s = slice(k, k + (1 << 18))
-                    first[s] &= ~_first_meeting(cells[ia[s]], cells[ib[s]])
-            # in this table: a home pair meets at home; else a probe of b holds a's home,
-            # and if a probes b's home too the pair is counted where a is the smaller
-            cells = tables.cells(unit[used], tab)
-            back = np.zeros(len(a), bool)
-            for k in range(0, len(a), 1 << 18):
-                s = slice(k, k + (1 << 18))
-                back[s] = (cells[ia[s], 1:] == cells[ib[s], :1]).any(axis=1)
-            first &= home[b] | ~back | (rep[a] < rep[b])
-            a, b = a[first], b[first]
-        links = np.bincount(place[a], n[b], len(ids)) + np.bincount(place[b], n[a], len(ids))
         some = np.flatnonzero(links)
         return pa.table({
             "u": np.concatenate([ids[tied], ids[some]]),
             "v": pa.array(np.concatenate([ids[label[tied]], ids[some]])),
-            "links": np.concatenate([np.zeros(len(tied), np.int64), links[some].astype(np.int64)]),
+            "links": np.concatenate([np.zeros(len(tied), np.int64), links[some]]),
         })
 
     return run

@@ -102,6 +102,28 @@ def test_near_dedup(spark, block, monkeypatch):
     assert found[5]["n_links"] == links[5]
 
 
+def test_links_of_a_hot_cell_in_small_memory():
+    """A task's memory does not grow with the pairs of its cell; its counts are exact."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(4), 5000
+    x = rng.normal(size=16) + rng.normal(size=(n, 16)) * 0.1
+    c = cosines(x) >= 0.9
+    side, rep = np.repeat([0, 1], n), np.tile(np.arange(n), 2)
+    cell = pa.table({"side": side, "rep": rep, "n": np.ones(2 * n, np.int64), "home": np.ones(2 * n, bool), "vec": pa.array(list(np.tile(x, (2, 1))))})
+    task = e8_lattice._links(e8_lattice.E8Tables(), 0.9)
+    tracemalloc.start()
+    got = task((pa.scalar(16), pa.scalar(0), pa.scalar(1)), cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    links = np.zeros(n, np.int64)
+    np.add.at(links, got["u"].to_numpy(), got["links"].to_numpy())
+    assert c.sum() > 20_000_000 and (links == c.sum(axis=1) - 1).all()
+    assert peak < 250 << 20, peak >> 20
+
+
 def brute_pair(chosen, rejected):
     key = lambda t: (t[0] is None, t[0] or 0, t[1] or "", t[2] or "")
     c, r = ([(x[1], x[2]) for x in sorted(s, key=key)] for s in (chosen, rejected))
