@@ -68,9 +68,9 @@ def decode(y: np.ndarray) -> np.ndarray:
 class E8Tables:
     """Projections, and the cells of vectors in them."""
 
-    tables: int = 10
-    probes: int = 2
-    scale: float = 0.7
+    tables: int = 12
+    probes: int = 8
+    scale: float = 0.9
     seed: int = 42
 
     def cells(self, x: np.ndarray, table: int) -> np.ndarray:

@@ -102,6 +102,19 @@ def test_near_dedup(spark, block, monkeypatch):
     assert found[5]["n_links"] == links[5]
 
 
+@pytest.mark.parametrize("cosine, most", [(0.9, 0.004), (0.93, 0.0004)])
+def test_few_pairs_at_the_threshold_missed(cosine, most):
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    tables, met = e8_lattice.E8Tables(), np.zeros(4000, bool)
+    for t in range(tables.tables):
+        met |= e8_lattice._first_meeting(tables.cells(a, t), tables.cells(b, t))
+    assert (~met).mean() <= most, (~met).sum()
+
+
 def test_links_of_a_hot_cell_in_small_memory():
     """A task's memory does not grow with the pairs of its cell; its counts are exact."""
     import tracemalloc
