@@ -140,6 +140,7 @@ class Model:
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     continuations: int = 0
     word_gamma: float = 1.0
+    pair_shards: tuple[int, ...] = ()  # those whose pair arrays were written; a word shard's size tells
 
     @property
     def distinct(self) -> int:
@@ -193,6 +194,12 @@ class Model:
             return np.full(len(ids), even)
         return discounted(self.of_words("continuations", ids), self.word_discounts) / self.continuations + even
 
+    def of_pairs(self, kind: str, shard: int) -> np.ndarray:
+        """An array of a pair shard; empty if nothing went there."""
+        if shard in self.pair_shards:
+            return _array(self.path, kind, shard)
+        return np.zeros((0, 4) if kind == "context_counts" else 0, np.int64)
+
     def pair_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Probability of each word after its context."""
         low = self.word_prob(word)
@@ -203,11 +210,11 @@ class Model:
         discounts = np.array(self.pair_discounts)
         for s, at in _groups(shard):
             count, stats = np.zeros(len(at), np.int64), np.zeros((len(at), 4), np.int64)
-            known = _array(self.path, "pairs", s)
+            known = self.of_pairs("pairs", s)
             if len(known):
                 k = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                count = np.where(known[k] == keys[at], _array(self.path, "pair_counts", s)[k], 0)
-            for contexts, of in ((_array(self.path, "contexts", s), _array(self.path, "context_counts", s)), (hot[:, 0], hot[:, 1:])):
+                count = np.where(known[k] == keys[at], self.of_pairs("pair_counts", s)[k], 0)
+            for contexts, of in ((self.of_pairs("contexts", s), self.of_pairs("context_counts", s)), (hot[:, 0], hot[:, 1:])):
                 if len(contexts):
                     k = np.minimum(np.searchsorted(contexts, context[at]), len(contexts) - 1)
                     stats = np.where((contexts[k] == context[at])[:, None], of[k], stats)
@@ -245,11 +252,8 @@ def modified_discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float
 
 @lru_cache(maxsize=1 << 16)
 def _array(path: str, kind: str, shard: int) -> np.ndarray:
-    """A shard's array, mapped once in a worker; empty if nothing went there."""
-    try:
-        return mapped(f"{path}/{kind}-{shard:05d}.npy")
-    except FileNotFoundError:
-        return np.zeros((0, 4) if kind == "context_counts" else 0, np.int64)
+    """A shard's array, mapped once in a worker; a file that is missing is an error."""
+    return mapped(f"{path}/{kind}-{shard:05d}.npy")
 
 
 # ---------------------------------------------------------------- training
@@ -324,7 +328,7 @@ def _store_pairs(model: Model):
             place, zero = np.searchsorted(model.offsets, word[s], "right") - 1, np.zeros(len(word[s]), np.int64)
             yield _stat(np.zeros(len(word[s]), np.int32), word[s], k[s], place, zero, zero)
         yield _stat(np.ones(int(hot.sum()), np.int32), each[hot], *(stats[hot][:, c] for c in range(4)))
-        yield _stat(np.full(1, 2, np.int32), np.zeros(1, np.int64), *(of[c : c + 1] for c in range(4)))
+        yield _stat(np.full(1, 2, np.int32), np.full(1, shard, np.int64), *(of[c : c + 1] for c in range(4)))
 
     return run
 
@@ -383,6 +387,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     sums = [F.sum(c).alias(c) for c in "abcd"]
     hot_rows = stats.where("kind = 1").groupBy("id").agg(*sums).collect()
     of = stats.where("kind = 2").agg(*sums).first()
+    pair_shards = tuple(sorted(r["id"] for r in stats.where("kind = 2").select("id").collect()))  # one row per shard
 
     # continuation counts, along with the words
     follow = stats.where("kind = 0").groupBy(F.col("b").cast("int").alias("shard"), F.col("id").alias("h")).agg(F.sum("a").alias("n"))
@@ -395,7 +400,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     gamma = (word_discounts[0] * got["n1"] + word_discounts[1] * got["n2"] + word_discounts[2] * got["more"]) / max(1, got["total"])
     return Model(
         path, shards, model.offsets, tokens, tuple(tuple(r) for r in hot_rows),
-        modified_discounts(*(of[c] or 0 for c in "abcd")), word_discounts, got["total"], gamma if got["total"] else 1.0,
+        modified_discounts(*(of[c] or 0 for c in "abcd")), word_discounts, got["total"], gamma if got["total"] else 1.0, pair_shards,
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import tempfile
 import textwrap
 import zlib
 from collections import Counter, defaultdict
@@ -270,6 +271,23 @@ def test_kneser_ney_nothing_taught(spark):
     assert got[1]["n_tokens"] == 3 and got[1]["n_known"] == 0 and got[2]["n_tokens"] == 1 and got[1]["score"] == 0
 
 
+@pytest.mark.parametrize("kind", ["words", "counts", "continuations", "pairs", "pair_counts", "contexts", "context_counts"])
+def test_kneser_ney_lost_file(kind):
+    """A file that was written and is not there is an error, a shard never written is empty."""
+    with tempfile.TemporaryDirectory() as path:
+        model = kneser_ney.Model(path, 1, (0, 2), 3, (), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 2, 0.5, (0,))
+        arrays = {
+            "words": np.array([5, 9], np.uint64), "counts": np.array([2, 1]), "continuations": np.array([1, 1]), "pairs": np.array([1, 3 << 32]),
+            "pair_counts": np.array([1, 1]), "contexts": np.array([0, 3]), "context_counts": np.array([[1, 1, 0, 0]] * 2),
+        }
+        for name, values in arrays.items():
+            if name != kind:
+                kneser_ney.store(f"{path}/{name}-00000.npy", values)
+        with pytest.raises(FileNotFoundError):
+            model.word_ids(np.array([5], np.uint64)), model.of_words("counts", np.array([0])), model.pair_prob(np.array([0]), np.array([1]))
+    assert len(kneser_ney.Model("/none", 1, (0, 0), 0, ()).of_pairs("pairs", 0)) == 0
+
+
 def test_licences(spark):
     mit = license_digest.KNOWN[9][1]
     docs = [
