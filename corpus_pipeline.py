@@ -26,9 +26,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are in none of the learned languages (null, no letters)."""
+    """Rejects texts without a letter, null texts too, and no others.
+
+    A text with a letter is in the learned language nearest to it, however far that is.
+    Where there is nothing to learn from, the same texts stay.
+    """
     ship_package(spark)
-    found = hyper_lang.identify(docs.select(*COLUMNS), F.lit(True))
+    docs, letter = docs.select(*COLUMNS), F.col("text").rlike(r"\p{L}")
+    if docs.where("lang is not null").where(letter).isEmpty():
+        return docs.where(letter)
+    found = hyper_lang.identify(docs, F.lit(True))
     return found.where(F.col("language.lang_pred") != hyper_lang.UNKNOWN).select(*COLUMNS)
 
 

@@ -404,3 +404,12 @@ def test_empty_tables(spark):
         license_digest.scan(df), unigram_pieces.encode(df, PIECES),
     ):
         assert out.count() == 0
+
+
+def test_language_stage(spark):
+    import corpus_pipeline
+
+    texts = ["the and of", "日本語", "12 .. !", "", None, "é"]
+    df = spark.createDataFrame([(i, t, "en" if i == 0 else None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [0, 1, 5]
