@@ -40,17 +40,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id.
+    """One document of each near-duplicate group stays: smallest id, no id last.
 
-    Of rows with one id one stays.  Rows without an id can't be told from each other
-    but by their text: of each such text one row stays.
+    Rows are told apart by id and text; of rows with one id a group keeps the one whose
+    hash of both is smallest.
     """
     ship_package(spark)
-    groups = simhash_trie.simhash_near_dedup(docs, shingle=4, max_bits=4)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null")
-    unnamed = docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"])
-    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(unnamed)
+    keyed = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row_key"), *COLUMNS)
+    groups = simhash_trie.simhash_near_dedup(keyed, id_col="row_key", shingle=4, max_bits=4).select("row_key", "group_fp")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    first = keyed.select("row_key", "doc_id").distinct().join(groups.distinct(), "row_key").groupBy("group_fp").agg(F.min(order).alias("first"))
+    return keyed.join(first.select("first.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -413,3 +413,14 @@ def test_language_stage(spark):
     df = spark.createDataFrame([(i, t, "en" if i == 0 else None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
         assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [0, 1, 5]
+
+
+def test_simhash_stage_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    a, b, c, d = (" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(300)) for _ in range(4))
+    docs = [(None, a), (None, a.upper()), (7, a), (None, b), (None, b.upper()), (5, c), (5, d), (5, d), (9, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"].lower()) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(7, a), (None, b), (5, c), (5, d)], key=str)
