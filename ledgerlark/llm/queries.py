@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     cross_polytope,
     e8_lattice,
+    exact_whitening,
     hyper_lang,
     kneser_ney,
     license_digest,
@@ -18,6 +19,8 @@ from . import (
     simhash_trie,
     slack_packing,
     unigram_pieces,
+    url_rules,
+    word_runs,
 )
 
 #: Folder of the public tokenizers' module (a parameter of the queries that use one).
@@ -103,6 +106,83 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by nested host and path rules."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_rules.filter_urls(pages, url_rules.rule_table(spark, URL_RULES))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every vector.
+
+    ``deviation`` is null where it is beyond a long; the operator has it as a decimal.
+    """
+    out = exact_whitening.whiten(_embeddings(spark, sf_dir), components=4)
+    each = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error",
+    )
+
+
+def _let(value, then):
+    """``then`` of a column that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _repeated_tail(text, h):
+    """The text's words, joined by blanks, with a stretch repeated to the end that ``h`` names.
+
+    Word ``i`` from ``a`` on becomes word ``a + (i - a) % p``; a text without words stays.
+    """
+    g = F.floor(h / 10)
+
+    def repeat(words, a, p):
+        copies = F.array_repeat(F.slice(words, a + 1, p), F.ceil((F.size(words) - a) / p).cast("int"))
+        return F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(copies), F.lit(1), F.size(words) - a))
+
+    def from_word(words, a):
+        p = F.floor((F.size(words) - a) / (3 + g % 8)) + 1
+        return _let(p.cast("int"), lambda p: repeat(words, a, p))
+
+    def from_words(words):
+        a = (g % F.size(words)).cast("int")
+        return F.when(F.size(words) > 0, _let(a, lambda a: from_word(words, a))).otherwise(words)
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(_let(words, from_words), " ")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left without the repeats.
+
+    In every tenth document, by crc32 of its id, the tail is made periodic first; a
+    document without an id stays as it is.
+    """
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = docs.withColumn("text", F.when(h % 10 == 0, _repeated_tail(F.col("text"), h)).otherwise(F.col("text")))
+    out = word_runs.periodic_runs(planted, shortest=24, repeats=3)
+
+    def first(a, b):
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        later = F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"]))
+        return F.when(left > right, -1).when(left < right, 1).otherwise(later).cast("int")
+
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    most = out.withColumn("most", F.get(F.array_sort("runs", first), F.lit(0)))
+    return most.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -116,7 +196,33 @@ QUERIES = {
         op8_sentencepiece,
         op9_chat_preference,
         op10_simhash_near_dedup,
+        op11_url_filters,
+        op12_embedding_whitening,
+        op13_periodic_runs,
     )
 }
 
-ORACLE: dict[str, str] = {}
+_URL_FILTERS = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM cut
+),
+judged AS (
+    SELECT page_id, host, path,
+           CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+ORACLE: dict[str, str] = {"op11_url_filters": _URL_FILTERS}
