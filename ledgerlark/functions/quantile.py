@@ -1,87 +1,101 @@
-"""Exact linearly-interpolated quantile without gathering all values in one task.
-
-``percentile(x, q)`` is exact, but its final aggregation holds every distinct value
-of the column in one task.  Here the exact answer is found in three short steps:
-
-  1. one aggregate -> one row: ``n``, min, max and a bracket [lo, hi] around rank
-     ``(n - 1) * q`` from ``percentile_approx`` (fixed-size sketch per partition),
-     widened by ``margin`` (default 0.2 % of the rows, 20x the sketch's rank error,
-     and three rows at least);
-  2. one aggregate over the rows up to ``hi``: all rows under ``lo`` collapse into
-     one leading group, the rows inside [lo, hi] are grouped by value (about
-     ``2 * margin * n`` rows);
-  3. a running count over those candidates locates the order statistics at ranks k
-     and k + 1, which are interpolated linearly (numpy's default ``linear`` method).
-     The candidates are ordered by the range-partitioned scan of ``plans.globalwin``.
-     Should the bracket miss the ranks, it is widened and the search goes on.
-
-Only scalars reach the driver.  The input is read twice: pass a checkpointed or
-file-backed DataFrame.
+"""Exact linearly-interpolated quantile by radix selection.
+
+``percentile(x, q)`` is exact, but its final aggregation holds every distinct value of
+the column in one task.  Here each value becomes a whole number of 64 bits that sorts as
+the value does (the number's own bits for values above zero, their negative below), and
+the order statistics are found 16 bits at a time: a pass counts the rows by their next 16
+bits among those that share the bits found so far, and the counts say in which of at most
+65 536 cells the wanted rank lies.  Four passes over one column give the exact values at
+ranks ``floor((n - 1) q)`` and the next; they are interpolated linearly, as numpy does.
+
+A pass is one aggregate with partial sums before its shuffle, and at most twice 65 536
+counts reach the driver, whatever the input.  NULL and NaN are no values.  The input is
+read four times: pass a spooled or file-backed DataFrame.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.plans.globalwin import rank_and_running_total
+#: Bits of a pass, and the shifts of the passes.
+DIGIT = 16
+SHIFTS = (48, 32, 16, 0)
+_FRACTION = float(1 << 52)
+
+
+def order_key(x: Column) -> Column:
+    """Whole number of 64 bits that sorts as the DOUBLE ``x`` (no NULL or NaN).
+
+    ``x`` is split exactly into an exponent and a fraction of 53 bits: a logarithm
+    guesses the exponent, and one step up or down mends the guess.
+    """
+    size = F.abs(x)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))).cast("double")))
+    part = size / F.pow(F.lit(2.0), guess)
+    power = F.when(part >= 2.0, guess + 1.0).when((part < 1.0) & (guess > -1022.0), guess - 1.0).otherwise(guess)
+    fraction = F.when(part >= 2.0, part / 2.0).when((part < 1.0) & (guess > -1022.0), part * 2.0).otherwise(part)
+    bits = F.shiftleft((power + 1022.0).cast("long"), 52) + (fraction * _FRACTION).cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size == 0, F.lit(0)).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits)
+
 
+def key_value(key: int) -> float:
+    """The number whose :func:`order_key` is ``key``."""
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key)
 
-def quantile_value(
-    df: DataFrame,
-    col: str,
-    q: float,
-    accuracy: int = 10_000,
-    margin: float = 0.002,
-) -> float | None:
-    """Exact ``q`` quantile of ``col`` (NULLs ignored); None for an empty input."""
+
+def order_statistics(df: DataFrame, col: str, rank_of) -> tuple[int, list[float]]:
+    """Number of values of ``col``, and the values at the ranks (from 0) ``rank_of(n)``.
+
+    Exactly four reads of ``col``; the first counts the values as well.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    keys = x.select(order_key(F.col("x")).alias("k"))
+    n, wanted, prefix = None, [], []
+    for shift in SHIFTS:
+        digit = F.shiftright("k", shift)
+        if prefix:
+            digit = digit.bitwiseAND(F.lit((1 << DIGIT) - 1))
+            above = F.shiftright("k", shift + DIGIT)
+            cells = keys.where(above.isin(*set(prefix))).groupBy(above.alias("above"), digit.alias("digit"))
+        else:
+            cells = keys.groupBy(F.lit(0).alias("above"), digit.alias("digit"))
+        counts: dict = {}
+        for r in cells.count().collect():
+            counts.setdefault(r["above"], []).append((r["digit"], r["count"]))
+        if n is None:
+            n = sum(c for _, c in counts.get(0, []))
+            wanted = list(rank_of(n)) if n else []
+            prefix = [0] * len(wanted)
+        found = []
+        for i, p in enumerate(prefix):
+            for d, c in sorted(counts[p]):
+                if wanted[i] < c:
+                    found.append((p << DIGIT) + d)
+                    break
+                wanted[i] -= c
+        prefix = found
+        if not prefix:
+            break
+    return n, [key_value(p) for p in prefix]
+
+
+def quantile_value(df: DataFrame, col: str, q: float) -> float | None:
+    """Exact ``q`` quantile of ``col`` (NULL and NaN ignored); None without any value."""
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    x = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = x.count()
-    if n == 0:
+
+    def ranks(n):
+        low = int(math.floor((n - 1) * q))
+        return low, min(low + 1, n - 1)
+
+    n, values = order_statistics(df, col, ranks)
+    if not n:
         return None
-    h = (n - 1) * q
-    k = int(math.floor(h))
-    k1 = min(k + 1, n - 1)
-    margin = max(margin, 3.0 / n)
-    while True:
-        found = _order_statistics(x, n, q, (k, k1), accuracy, margin)
-        if found is not None:
-            v_k, v_k1 = found
-            return float(v_k if v_k1 == v_k else v_k + (v_k1 - v_k) * (h - k))
-        margin *= 4  # a bracket of the whole range can't miss
-
-
-def _order_statistics(x: DataFrame, n: int, q: float, ranks, accuracy: int, margin: float):
-    """Values at the two ranks (from 0), or None if the bracket misses them."""
-    q_lo, q_hi = max(0.0, q - margin), min(1.0, q + margin)
-    st = x.agg(
-        F.min("v").alias("vmin"),
-        F.max("v").alias("vmax"),
-        F.percentile_approx("v", F.array(F.lit(q_lo), F.lit(q_hi)), accuracy).alias("b"),
-    ).first()
-    lo = st["vmin"] if q_lo == 0.0 else st["b"][0]
-    hi = st["vmax"] if q_hi == 1.0 else st["b"][1]
-
-    # one pass: every row below the bracket collapses into a single leading group, the
-    # rows inside keep their values; rows above the bracket are not needed
-    below = F.col("v") < F.lit(lo)
-    cand = (
-        x.where(F.col("v") <= F.lit(hi))
-        .groupBy(below.alias("below"), F.when(~below, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("ord", F.when(F.col("below"), F.lit(float("-inf"))).otherwise(F.col("v")))
-    )
-    ranked = rank_and_running_total(
-        cand, "ord", ["below"], "cnt", descending=False, nulls_first=False,
-        rank_col=None, running_col="cum",
-    )
-    start = F.col("cum") - F.col("cnt")
-    end = F.col("cum") - F.lit(1)
-    at = [(start <= F.lit(r)) & (F.lit(r) <= end) for r in ranks]
-    hit = ranked.where(~F.col("below")).where(at[0] | at[1]).select("v", start.alias("start"), end.alias("end")).collect()
-    values = [next((r["v"] for r in hit if r["start"] <= k <= r["end"]), None) for k in ranks]
-    return None if None in values else tuple(values)
+    at = (n - 1) * q
+    low, high = values
+    return low if low == high else low + (high - low) * (at - math.floor(at))

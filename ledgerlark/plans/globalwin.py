@@ -4,37 +4,28 @@
 UNBOUNDED PRECEDING)`` have no PARTITION BY, so Spark's built-in window moves every
 row into one task.  That is fine for a few thousand vendors and fatal for a billion.
 
-Plan used here (all partitions work in parallel):
-  1. ``repartitionByRange(k, id)``: rows are range-partitioned on the full sort key,
-     so partition p holds a contiguous slice of the global order.  Ties on ``k`` may
-     straddle partitions (a hot value is split, never piled into one task).
-  2. One ``mapInPandas`` pass over each locally sorted partition computes every row's
-     in-partition min-rank and running sum, and appends one summary row for the
-     partition: row count, value total, first / last key, size of the last tie group.
-  3. Reliable checkpoint of that output (shared ``spark.checkpoint.dir``): rows and
-     their partition's summary are stored together, so they agree even if an executor
-     is lost and a task reruns.
-  4. The N summary rows (N = partition count, a fixed bound) go to the driver, which
-     turns them into per-partition offsets: rows before, value before, and how many
-     rows of the partition's first key sit in earlier partitions; a broadcast join with
-     that N-row table adds the offsets to every row.
+Plan used here (all partitions work in parallel, built-in functions only):
+  1. ``repartitionByRange(k, id)``: rows are range-partitioned on the full sort key, so
+     partition p holds a contiguous slice of the global order.  Ties on ``k`` may
+     straddle partitions (a hot value is split, never piled into one task).  The rows
+     are spooled with their partition number, so that what follows agrees on it.
+  2. Built-in windows per range partition: row number, rank and running sum.
+  3. One summary row per partition: rows, total, first and last key, rows of the last
+     tie.  A carry over these N rows (N = partition count, a fixed bound) gives each
+     partition the rows and total before it, and the rows before it that tie with its
+     first key.  Whether two keys tie is Spark's ``<=>``: NULL ties with NULL, NaN with
+     NaN, and neither with the other.
+  4. A broadcast join with the N carried rows adds the offsets to every row.
 """
 
 from __future__ import annotations
 
-import decimal
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlark.session import checkpoint, ship_package
+from ledgerlark.plans.spool import spool
 
-_PID = "_gw_pid"
-_LOCAL_SUM = "_gw_local_sum"
-_LOCAL_RANK = "_gw_local_rank"
+_PART, _NO, _RANK, _SUM = "_gw_part", "_gw_no", "_gw_rank", "_gw_sum"
 
 
 def _sort_cols(key: str, tiebreak: list[str], descending: bool, nulls_first: bool):
@@ -46,122 +37,27 @@ def _sort_cols(key: str, tiebreak: list[str], descending: bool, nulls_first: boo
     return [kk] + [F.col(t).asc_nulls_last() for t in tiebreak]
 
 
-def _is_null(v) -> bool:
-    return v is None or (isinstance(v, float) and np.isnan(v))
-
-
-def _same(a, b) -> bool:
-    if _is_null(a) or _is_null(b):
-        return _is_null(a) and _is_null(b)
-    return a == b
-
-
-def _same_as_prev(keys: pd.Series, carried, has_carried: bool) -> np.ndarray:
-    """Boolean array: key equals the previous key in sort order (nulls equal nulls)."""
-    prev = keys.shift(1)
-    null = keys.isna().to_numpy()
-    prev_null = prev.isna().to_numpy()
-    eq = (keys == prev).fillna(False).to_numpy(dtype=bool) | (null & prev_null)
-    if len(keys):
-        eq[0] = has_carried and _same(keys.iloc[0], carried)
-    return eq
-
-
-_MARKER = "_gw_marker"
-_SUMMARY = ("_gw_n", "_gw_total", "_gw_first_key", "_gw_last_key", "_gw_n_first", "_gw_n_last")
-
-
-def _partition_scan(key: str, value: str | None, out_cols: list[str]):
-    """One pass over a sorted partition: in-partition min-rank and running sum for every
-    row, then one marker row holding the partition's summary (row count, value total,
-    first / last key, size of the first / last tie group)."""
-
-    def run(batches):
-        count = 0
-        last_key = None
-        last_rank = 0
-        running = None
-        first = None
-        n_first = n_last = 0
-        first_run_open = True
-        pid = None
-        with decimal.localcontext() as ctx:
-            ctx.prec = 60
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                m = len(pdf)
-                pid = int(pdf[_PID].iloc[0])
-                keys = pdf[key]
-                same = _same_as_prev(keys, last_key, count > 0)
-                pos = np.arange(count + 1, count + m + 1, dtype=np.int64)
-                starts = np.where(same, 0, pos)
-                if same[0]:
-                    starts[0] = last_rank
-                ranks = np.maximum.accumulate(starts)
-                pdf[_LOCAL_RANK] = ranks
-                if count == 0:
-                    first = keys.iloc[0]
-                if first_run_open:
-                    lead = 1 if count == 0 else 0
-                    brk = np.flatnonzero(~same[lead:])
-                    if len(brk):
-                        n_first += lead + int(brk[0])
-                        first_run_open = False
-                    else:
-                        n_first += m
-                new = np.flatnonzero(~same)
-                n_last = (m - int(new[-1])) if len(new) else n_last + m
-                if value is not None:
-                    vals = pdf[value]
-                    if vals.dtype == object:
-                        filled = vals.map(lambda x: decimal.Decimal(0) if x is None else x)
-                        cum = np.cumsum(filled.to_numpy(dtype=object))
-                    else:
-                        cum = np.cumsum(vals.fillna(0).to_numpy(dtype=np.float64))
-                    if running is not None:
-                        cum = cum + running
-                    running = cum[-1]
-                    pdf[_LOCAL_SUM] = cum
-                pdf[_MARKER] = False
-                last_key = keys.iloc[-1]
-                last_rank = int(ranks[-1])
-                count += m
-                yield pdf.reindex(columns=out_cols)
-            if count:
-                marker = {c: [None] for c in out_cols}
-                marker.update(
-                    {
-                        _PID: [pid], _MARKER: [True], "_gw_n": [count], "_gw_total": [running],
-                        "_gw_first_key": [first], "_gw_last_key": [last_key],
-                        "_gw_n_first": [n_first], "_gw_n_last": [n_last],
-                    }
-                )
-                yield pd.DataFrame(marker, columns=out_cols)
+def _carried(summary: DataFrame) -> DataFrame:
+    """Offsets per range partition from the summary rows: a scan over N rows.
 
-    return run
-
-
-def _offsets(rows, has_value: bool):
-    """Per-partition offsets from the N summary rows (driver side, N is bounded)."""
-    rows = sorted(rows, key=lambda r: r[_PID])
-    out = []
-    cnt_before = 0
-    sum_before = None
-    for i, r in enumerate(rows):
-        # rows of this partition's first key that sit in earlier partitions
-        spill = 0
-        j = i - 1
-        while j >= 0 and _same(rows[j]["_gw_last_key"], r["_gw_first_key"]):
-            spill += rows[j]["_gw_n_last"]
-            if rows[j]["_gw_n_last"] < rows[j]["_gw_n"]:
-                break
-            j -= 1
-        out.append((r[_PID], cnt_before, spill, sum_before))
-        cnt_before += r["_gw_n"]
-        if has_value and r["_gw_total"] is not None:
-            sum_before = r["_gw_total"] if sum_before is None else sum_before + r["_gw_total"]
-    return out
+    ``tied`` says that a partition begins with the key its predecessor ends with; then the
+    predecessor's last tie lies before its first row, and more of them where whole
+    partitions hold one key.  A run of such partitions shares ``chain``.
+    """
+    order = Window.orderBy(_PART)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = summary.withColumn("tied", F.lag(F.struct("last")).over(order)["last"].eqNullSafe(F.col("first")) & (F.row_number().over(order) > 1))
+    through = F.col("tied") & F.col("first").eqNullSafe(F.col("last"))
+    chained = linked.withColumn("chain", F.sum(F.when(through, 0).otherwise(1)).over(upto))
+    in_chain = Window.partitionBy("chain").orderBy(_PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = chained.withColumn("tail", F.sum("n_last").over(in_chain))
+    return tails.select(
+        _PART,
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_gw_before"),
+        F.when(F.col("tied"), F.lag("tail").over(order)).otherwise(F.lit(0)).alias("_gw_tied"),
+        F.sum("total").over(before).alias("_gw_total"),
+    )
 
 
 def rank_and_running_total(
@@ -179,75 +75,43 @@ def rank_and_running_total(
     """Add global RANK() over ``key`` and/or running SUM(``value``) over (key, tiebreak).
 
     ``tiebreak`` must make the order total (e.g. the primary key); it only decides the
-    running-sum order inside a tie group, never the rank.
+    running-sum order inside a tie group, never the rank.  A running sum is NULL until
+    the first value that isn't, like the built-in window's.
     """
     spark = df.sparkSession
-    ship_package(spark)
     order = _sort_cols(key, tiebreak, descending, nulls_first)
-
     # Without an explicit count, AQE sizes the range partitions (coalescing adjacent
     # ranges keeps the global order).
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *order)
-    else:
-        ranged = df.repartitionByRange(*order)
-    local = ranged.withColumn(_PID, F.spark_partition_id()).sortWithinPartitions(*order)
-
-    key_type = df.schema[key].dataType
-    val_type = df.schema[value].dataType if value else None
-    sum_type = (
-        T.DecimalType(38, val_type.scale)
-        if isinstance(val_type, T.DecimalType)
-        else T.DoubleType()
-    )
-    fields = [T.StructField(f.name, f.dataType, True) for f in local.schema.fields]
-    fields.append(T.StructField(_LOCAL_RANK, T.LongType()))
-    if value:
-        fields.append(T.StructField(_LOCAL_SUM, sum_type))
-    fields += [
-        T.StructField(_MARKER, T.BooleanType()),
-        T.StructField("_gw_n", T.LongType()),
-        T.StructField("_gw_total", sum_type),
-        T.StructField("_gw_first_key", key_type),
-        T.StructField("_gw_last_key", key_type),
-        T.StructField("_gw_n_first", T.LongType()),
-        T.StructField("_gw_n_last", T.LongType()),
-    ]
-    schema = T.StructType(fields)
-    # one Python pass; rows and their partition's summary row are checkpointed together
-    scanned_all = checkpoint(
-        local.mapInPandas(_partition_scan(key, value, schema.fieldNames()), schema)
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    rows = spool(ranged.withColumn(_PART, F.spark_partition_id()), "globalwin")
+
+    # partition numbers dealt by range again: one task per partition, none shared
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = Window.partitionBy(_PART).orderBy(*order)
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_key = Window.partitionBy(_PART).orderBy(order[0])
+    scanned = rows.repartitionByRange(parts, _PART).select(
+        "*",
+        F.row_number().over(local).alias(_NO),
+        F.rank().over(by_key).cast("long").alias(_RANK),
+        (F.sum(value).over(running) if value else F.lit(None)).alias(_SUM),
     )
-    # N rows: bounded by the partition count, safe to bring to the driver.
-    summary = scanned_all.where(F.col(_MARKER)).select(_PID, *_SUMMARY).collect()
-    offsets = spark.createDataFrame(
-        _offsets(summary, value is not None),
-        T.StructType(
-            [
-                T.StructField(_PID, T.IntegerType()),
-                T.StructField("_gw_cnt_before", T.LongType()),
-                T.StructField("_gw_spill", T.LongType()),
-                T.StructField("_gw_sum_before", sum_type),
-            ]
-        ),
+    summary = scanned.groupBy(_PART).agg(
+        F.max(_NO).cast("long").alias("n"),
+        (F.max(_NO) - F.max(_RANK) + 1).alias("n_last"),
+        F.min_by(F.struct(F.col(key).alias("k")), _NO)["k"].alias("first"),
+        F.max_by(F.struct(F.col(key).alias("k")), _NO)["k"].alias("last"),
+        F.max_by(F.struct(F.col(_SUM).alias("s")), _NO)["s"].alias("total"),
     )
-    scanned = scanned_all.where(~F.col(_MARKER)).drop(_MARKER, *_SUMMARY)
-    out = scanned.join(F.broadcast(offsets), _PID)
+    offsets = spool(_carried(spool(summary, "globalwin-parts")), "globalwin-offsets")
+    out = scanned.join(F.broadcast(offsets), _PART)
     if rank_col:
-        out = out.withColumn(
-            rank_col,
-            (
-                F.col("_gw_cnt_before")
-                + F.col(_LOCAL_RANK)
-                - F.when(F.col(_LOCAL_RANK) == 1, F.col("_gw_spill")).otherwise(0)
-            ).cast("long"),
-        )
+        tied = F.when(F.col(_RANK) == 1, F.col("_gw_tied")).otherwise(F.lit(0))
+        out = out.withColumn(rank_col, (F.col("_gw_before") + F.col(_RANK) - tied).cast("long"))
     if value and running_col:
-        out = out.withColumn(
-            running_col,
-            F.coalesce(F.col("_gw_sum_before"), F.lit(0).cast(sum_type)) + F.col(_LOCAL_SUM),
-        )
-    return out.drop(_PID, _LOCAL_RANK, _LOCAL_SUM, "_gw_cnt_before", "_gw_spill", "_gw_sum_before")
+        both = F.col("_gw_total") + F.col(_SUM)
+        out = out.withColumn(running_col, F.coalesce(both, F.col(_SUM), F.col("_gw_total")))
+    return out.drop(_PART, _NO, _RANK, _SUM, "_gw_before", "_gw_tied", "_gw_total")
 
 
 def single_partition_rank_and_running_total(
