@@ -10,11 +10,13 @@ Two detectors share one wide purchase-line table (``po_line_base``):
 Group statistics are an aggregate joined back to the lines (not a window): the
 aggregate is combined map-side, so a hot (vendor, product) group is never buffered
 in one task, and the join back salts hot groups over many tasks (``plans.skew``).
+The lines are written once and read narrow for the statistics; deviations come from
+exact moments (``functions.moments``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exprs import (
@@ -26,9 +28,11 @@ from ledgerlark.functions.exprs import (
     round_ratio,
     ymd,
 )
+from ledgerlark.functions.moments import deviation, mean, moments
 from ledgerlark.functions.quantile import quantile_value
 from ledgerlark.operators.spend import DEFAULT_PO_KEY, po_lines
-from ledgerlark.plans.skew import join_group_stats, line_row_key
+from ledgerlark.plans.skew import GROUP_ROWS, attach_group_stats
+from ledgerlark.plans.spool import spool
 
 # Feature order of the forest, label texts and rule thresholds.
 FEATURES = [
@@ -85,26 +89,18 @@ def price_deviation_flags(
     """
     lines = _wide_lines(poh, pod, vendor, product, subcategory, category, po_key)
     keys = list(group_keys)
-    # statistics come from header x detail only, as in the original query: the
-    # dimension joins are needed for the report columns, not for the groups
-    base = po_lines(poh, pod, po_key)
-    if "subcategory" in keys:
-        sub = product.select("productid", "productsubcategoryid").join(
-            subcategory.select("productsubcategoryid", F.col("name").alias("subcategory")),
-            "productsubcategoryid",
-            "left",
-        )
-        base = base.join(sub.drop("productsubcategoryid"), "productid", "left")
-    stats = (
-        base.groupBy(*keys)
-        .agg(
-            F.round(exact_avg("unitprice"), 4).alias("vendor_avg"),
-            round_ratio(F.stddev_samp("unitprice"), 4).alias("stddev_unit_price"),
-            F.count(F.lit(1)).alias("transaction_count"),
+
+    def derive(stats):
+        # groups of one line have no statistics, however hot the join finds others
+        shown = F.col(GROUP_ROWS) >= 2
+        return stats.select(
+            *keys, GROUP_ROWS,
+            F.when(shown, F.round("avg_price", 4)).alias("vendor_avg"),
+            F.when(shown, round_ratio(deviation(lines, "unitprice"), 4)).alias("stddev_unit_price"),
         )
-        .where(F.col("transaction_count") >= 2)
-    )
-    j = join_group_stats(lines, stats, keys, "transaction_count", line_row_key(lines))
+
+    aggregates = [exact_avg("unitprice").alias("avg_price"), *moments(lines, "unitprice")]
+    j = attach_group_stats(lines, keys, aggregates, derive)
     sd = F.col("stddev_unit_price")
     z = _z_expr(F.col("unitprice"), F.col("vendor_avg"), sd)
     out = j.select(
@@ -208,12 +204,20 @@ def group_price_stats(
     so constant groups have exactly zero deviation.
     """
     keys = list(keys)
-    stats = lines.groupBy(*keys).agg(
-        (F.sum(price).cast("double") / F.count(price)).alias("vp_avg_price"),
-        F.stddev_samp(F.col(price).cast("double")).alias("vp_std_price"),
-        F.count(price).alias("vp_count"),
-    )
-    return join_group_stats(lines, stats, keys, "vp_count", line_row_key(lines))
+
+    def derive(stats):
+        return stats.select(*keys, GROUP_ROWS, *price_stats(lines, price))
+
+    return attach_group_stats(lines, keys, moments(lines, price), derive)
+
+
+def price_stats(lines: DataFrame, price: str = "unitprice") -> list[F.Column]:
+    """Average, sample deviation and count of a group's prices from its moments."""
+    return [
+        mean().alias("vp_avg_price"),
+        deviation(lines, price).alias("vp_std_price"),
+        F.col("m_n").alias("vp_count"),
+    ]
 
 
 def line_features(lines: DataFrame) -> DataFrame:
@@ -250,14 +254,14 @@ def line_features(lines: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - mean) / population std per column, NULL -> 0 first; a zero-variance column
-    keeps scale 1.  The statistics are one aggregate row (read once, used as literals);
-    pass a checkpointed input, it is read twice."""
+    keeps scale 1.  The statistics (two numbers a column) are observed while ``df`` is
+    spooled, so it is worked out once and no pass is made for them."""
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
-    # one aggregate pass -> one row of statistics (16 numbers) -> literals
-    stats = df.agg(
-        *[F.avg(filled[c]).alias(f"mu{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(filled[c]).alias(f"sd{i}") for i, c in enumerate(cols)],
-    ).first()
+    seen = Observation("standardize")
+    moved = [F.avg(filled[c]).alias(f"mu{i}") for i, c in enumerate(cols)]
+    spread = [F.stddev_pop(filled[c]).alias(f"sd{i}") for i, c in enumerate(cols)]
+    df = spool(df.observe(seen, *moved, *spread), "features")
+    stats = seen.get
     scaled = {}
     for i, c in enumerate(cols):
         mu, sd = stats[f"mu{i}"], stats[f"sd{i}"]
@@ -276,7 +280,7 @@ def contamination_threshold(
     """The ``contamination`` quantile of the scores.
 
     ``exact=True``: linear interpolation between order statistics, as numpy does
-    (three short passes, see ``functions.quantile``).  ``exact=False``: one
+    (four reads of the one column, see ``functions.quantile``).  ``exact=False``: one
     ``percentile_approx`` pass, rank error at most ``n / accuracy``.
     """
     if exact:

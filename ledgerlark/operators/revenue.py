@@ -84,14 +84,17 @@ def territory_growth(soh: DataFrame, territory: DataFrame, calendar_exact: bool
     st = territory.select(
         "territoryid", F.col("name").alias("territory"), F.col("countryregioncode").alias("country")
     )
-    monthly = (
+    # customers are counted by a second aggregate over one row per customer and month:
+    # orders are combined on the way, and no row is expanded for the distinct count
+    per_customer = (
         soh.join(st, "territoryid")
-        .groupBy("territory", "country", month_start("orderdate").alias("period_date"))
-        .agg(
-            F.round(F.sum("subtotal"), 2).alias("revenue"),
-            F.count_distinct("salesorderid").alias("order_count"),
-            F.count_distinct("customerid").alias("unique_customers"),
-        )
+        .groupBy("territory", "country", month_start("orderdate").alias("period_date"), "customerid")
+        .agg(F.sum("subtotal").alias("revenue"), F.count("salesorderid").alias("order_count"))
+    )
+    monthly = per_customer.groupBy("territory", "country", "period_date").agg(
+        F.round(F.sum("revenue"), 2).alias("revenue"),
+        F.sum("order_count").alias("order_count"),
+        F.count("customerid").alias("unique_customers"),
     )
     if calendar_exact:
         # RANGE frames over a month number pick exactly the row 1 / 12 months earlier

@@ -194,7 +194,7 @@ def monthly_spend_vs_revenue(
     )
     revenue = soh.groupBy(month_start("orderdate").alias("month")).agg(
         F.round(F.sum("subtotal"), 2).alias("total_revenue"),
-        F.count_distinct("salesorderid").alias("order_count"),
+        F.count("salesorderid").alias("order_count"),  # the header's key: each once
     )
     spend_c = F.coalesce(F.col("total_spend"), F.lit(0).cast("decimal(38,2)"))
     joined = revenue.join(spend, "month", "left").withColumn("spend_c", spend_c)

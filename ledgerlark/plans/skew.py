@@ -6,28 +6,31 @@ shuffle stages on both sides) cannot split a hot key.  Here it is split explicit
 
   * a group is *hot* when it holds at least ``split`` rows: the average
     shuffle-partition size (``total / spark.sql.shuffle.partitions``).  There are therefore at most ``spark.sql.shuffle.partitions`` hot
-    groups: the hot-key list has a proven bound, is collected and broadcast;
+    groups: the hot-key list has a proven bound and is broadcast;
   * each row of a hot group gets a salt in ``[0, ceil(count / split))`` from a
     hash of its row key; the hot group's single statistics row is replicated once
     per salt.  Cold groups keep salt 0 and are not replicated;
   * the join runs on (key, salt), so a hot group is spread over many tasks.
 
-The statistics are checkpointed once (one row per group) because they are read three
-times.  Keys are compared null-safe: rows with a NULL key are a group like any other,
-meet its statistics and are salted with it.  The result equals the plain null-safe left
-join (every row meets exactly its group's row).
+The rows are spooled before their statistics are taken, narrow, so what leads to them (the
+header-detail join) is worked out once; then they are shuffled once, by key and salt.
+The statistics are spooled as well (one row per group), being read three times.  A group's
+size counts all its rows, also those whose value is NULL.  Keys are compared null-safe:
+rows with a NULL key are a group like any other, meet its statistics and are salted with
+it.  The result equals the plain null-safe left join (every row meets exactly its group's
+row).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlark.session import checkpoint
+from ledgerlark.plans.spool import spool
 
 SALT = "_salt"
 N_SALT = "_n_salt"
+GROUP_ROWS = "_group_rows"
 LINE_ID_COLS = ("purchaseorderid", "vendorid", "purchaseorderdetailid", "productid")
 
 
@@ -46,6 +49,14 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, on, "left").drop(*(f"_right_{k}" for k in keys))
 
 
+def attach_group_stats(rows: DataFrame, keys: list[str], aggregates: list[Column], derive) -> DataFrame:
+    """``rows`` with statistics of their group: ``aggregates`` over ``keys``, from which
+    ``derive(stats)`` makes the columns to join (and may drop groups)."""
+    rows = spool(rows, "rows")
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS), *aggregates)
+    return join_group_stats(rows, derive(stats), keys, GROUP_ROWS, line_row_key(rows)).drop(GROUP_ROWS)
+
+
 def join_group_stats(
     rows: DataFrame,
     stats: DataFrame,
@@ -57,20 +68,12 @@ def join_group_stats(
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # statistics are read three times (total, hot list, join): write them once
-    stats = checkpoint(stats)
+    stats = spool(stats, "stats")
     total = stats.agg(F.sum(count_col)).first()[0] or 0
     split = max(1, -(-total // parts))
     # at most `parts` groups can hold total / parts rows each: a bounded list
-    hot_rows = (
-        stats.where(F.col(count_col) >= split)
-        .select(
-            *keys,
-            F.ceil(F.col(count_col) / F.lit(split)).cast("int").alias(N_SALT),
-        )
-        .collect()
-    )
-    hot = spark.createDataFrame(hot_rows, stats.select(*keys).schema.add(N_SALT, T.IntegerType()))
-    hot_b = F.broadcast(hot)
+    salts = F.ceil(F.col(count_col) / F.lit(split)).cast("int").alias(N_SALT)
+    hot_b = F.broadcast(spool(stats.where(F.col(count_col) >= split).select(*keys, salts), "hot"))
     salted_rows = _null_safe_left(rows, hot_b, keys).withColumn(
         SALT,
         F.when(

@@ -1,7 +1,7 @@
 """Report runs: every workload report from one set of logical tables, exported as CSV.
 
     python -m ledgerlark.reports --standin /root/testdata/sf0.01 --out /some/dir
-    python -m ledgerlark.reports --parquet /data/adventureworks --out /some/dir
+    python -m ledgerlark.reports --parquet /data/logical_tables --out /some/dir
 
 The logical tables come either from the stand-in mapping over the test tables or
 from 13 parquet tables named ``schema.table``.  Each report is written as its own CSV
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import anomaly, iforest, revenue, spend
-from ledgerlark.session import build_session, checkpoint, ensure_checkpoint_dir
+from ledgerlark.plans.spool import scope, spool
+from ledgerlark.session import build_session, ensure_checkpoint_dir
 from ledgerlark.sources.sinks import write_csv
 
 LINE_KEY = ["purchaseorderid", "vendorid", "purchaseorderdetailid", "productid"]
@@ -36,18 +37,31 @@ def featured_lines(t) -> DataFrame:
     return anomaly.line_features(anomaly.group_price_stats(line_base(t)))
 
 
+#: What reports beyond the line report read of the lines.
+NARROW = [*LINE_KEY, "vendor_name", "line_total", "price_deviation", "z_score", "rejection_rate"]
+
+
 def fit_forest(featured: DataFrame, **kw) -> iforest.IsolationForestModel:
     row_key = [c for c in LINE_KEY if c in featured.columns]
     return iforest.iforest_fit(featured, anomaly.FEATURES, row_key=row_key, **kw)
 
 
-def detect(featured: DataFrame, model, contamination: float = anomaly.CONTAMINATION) -> DataFrame:
-    """Score -> checkpoint -> contamination threshold -> flags -> labels.
+def detect(
+    featured: DataFrame,
+    model,
+    contamination: float = anomaly.CONTAMINATION,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """Score -> spool -> contamination threshold -> flags -> labels.
 
-    The scored lines are checkpointed once: the exact threshold reads them three
-    times and the reports read them again, and the forest is never re-evaluated.
+    The scored lines are spooled once, only ``columns`` of them if given: the exact
+    threshold reads the scores alone, the reports what they need, and the forest is never
+    evaluated again.
     """
-    scored = checkpoint(iforest.iforest_score(featured, model))
+    scored = iforest.iforest_score(featured, model)
+    if columns is not None:
+        scored = scored.select(*[c for c in scored.columns if c in {*columns, "anomaly_raw"}])
+    scored = spool(scored, "scored")
     return anomaly.anomaly_label(anomaly.contamination_flag(scored, "anomaly_raw", contamination))
 
 
@@ -76,7 +90,7 @@ def procurement_reports(t) -> dict[str, DataFrame]:
 
 
 def anomaly_reports(t, model=None) -> dict[str, DataFrame]:
-    featured = checkpoint(featured_lines(t))
+    featured = spool(featured_lines(t), "features")
     model = model or fit_forest(featured)
     labelled = detect(featured, model)
     return {
@@ -115,8 +129,9 @@ def main(argv=None) -> None:
         from ledgerlark.sources.parquet import LogicalTables
 
         t = LogicalTables.from_parquet(spark, args.parquet)
-    counts = export(procurement_reports(t), args.out)
-    counts.update(export(anomaly_reports(t), args.out))
+    with scope(spark):  # what the reports spool goes when they are written
+        counts = export(procurement_reports(t), args.out)
+        counts.update(export(anomaly_reports(t), args.out))
     for name, n in counts.items():
         print(f"{name}: {n:,} rows")
 

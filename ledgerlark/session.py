@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 #  - AQE with skew-join splitting and partition coalescing: hot vendors / months /
 #    offers are split at runtime instead of landing in one task.
 #  - Arrow for the pandas UDFs of the isolation forest.
-#  - checkpoint cleanup: the library checkpoints intermediate results (global window
-#    layout, scored lines, group statistics); they are removed when no longer used.
+#  - checkpoint cleanup: files of checkpoints, if a caller makes any, are removed when no
+#    longer used.  The library's own intermediates are spooled (``plans.spool``).
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -76,12 +76,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def checkpoint(df, eager: bool = True):
-    """Cut lineage with a reliable checkpoint in the session's checkpoint dir."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 _PACKAGE_ZIP: str | None = None
 _SHIPPED: set = set()
 

@@ -13,20 +13,17 @@ stopped after a failure (Structured Streaming's file-sink commit protocol).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerlark.functions.moments import moments
 from ledgerlark.operators import anomaly, iforest
 
 
 def batch_group_stats(lines: DataFrame, keys=("vendorid", "productid")) -> DataFrame:
     """Group price statistics of the batch lines (one row per group)."""
     keys = list(keys)
-    return lines.groupBy(*keys).agg(
-        (F.sum("unitprice").cast("double") / F.count("unitprice")).alias("vp_avg_price"),
-        F.stddev_samp(F.col("unitprice").cast("double")).alias("vp_std_price"),
-        F.count("unitprice").alias("vp_count"),
-    )
+    stats = lines.groupBy(*keys).agg(*moments(lines, "unitprice"))
+    return stats.select(*keys, *anomaly.price_stats(lines))
 
 
 def score_stream(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlark import reports
 from ledgerlark.functions.exprs import round_ratio
 from ledgerlark.operators import anomaly, iforest, revenue, spend
-from ledgerlark.session import checkpoint
+from ledgerlark.plans.spool import spool
 from ledgerlark.sources.standin import standin
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -93,13 +93,13 @@ def _featured(spark, sf_dir):
 _detect = reports.detect
 
 
-def _labelled_fixed(spark, sf_dir):
-    return _detect(_featured(spark, sf_dir), iforest.fixed_forest(anomaly.FEATURES))
+def _labelled_fixed(spark, sf_dir, columns=None):
+    return _detect(_featured(spark, sf_dir), iforest.fixed_forest(anomaly.FEATURES), columns=columns)
 
 
-def _labelled_iforest(spark, sf_dir):
-    featured = checkpoint(_featured(spark, sf_dir))
-    return _detect(featured, reports.fit_forest(featured))
+def _labelled_iforest(spark, sf_dir, columns=None):
+    featured = spool(_featured(spark, sf_dir), "features")
+    return _detect(featured, reports.fit_forest(featured), columns=columns)
 
 
 def _price_deviation_flags(spark, sf_dir):
@@ -139,20 +139,20 @@ def _line_features(spark, sf_dir):
 
 
 def _standardize(spark, sf_dir):
-    # statistics and scaling both read the features: materialize them once
-    df = anomaly.standardize(checkpoint(_featured(spark, sf_dir)), anomaly.FEATURES)
+    df = anomaly.standardize(_featured(spark, sf_dir).select(*LINE_ID_COLS, *anomaly.FEATURES), anomaly.FEATURES)
     return anomaly.as_report(
         df.select(*LINE_ID_COLS, *[f"{c}_scaled" for c in anomaly.FEATURES]), round_features=6
     )
 
 
 def _iforest_model(spark, sf_dir):
-    featured = checkpoint(_featured(spark, sf_dir))
-    return reports.fit_forest(featured).to_dataframe(spark)
+    featured = spool(_featured(spark, sf_dir).select(*LINE_ID_COLS, *anomaly.FEATURES), "features")
+    nodes, _ = iforest.fit_nodes(featured, anomaly.FEATURES, reports.LINE_KEY)
+    return nodes.withColumn("threshold", round_ratio("threshold", 6))
 
 
 def _iforest_scores(spark, sf_dir):
-    featured = checkpoint(_featured(spark, sf_dir))
+    featured = spool(_featured(spark, sf_dir).select(*LINE_ID_COLS, *anomaly.FEATURES), "features")
     model = reports.fit_forest(featured)
     return anomaly.as_report(
         iforest.iforest_score(featured, model).select(*LINE_ID_COLS, "anomaly_raw"),
@@ -169,14 +169,14 @@ def _fixed_forest_scores(spark, sf_dir):
 
 
 def _contamination_flag(spark, sf_dir):
-    df = _labelled_fixed(spark, sf_dir)
+    df = _labelled_fixed(spark, sf_dir, reports.NARROW)
     return anomaly.as_report(
         df.select(*LINE_ID_COLS, "anomaly_raw", "is_anomaly", "anomaly_score"), round_features=6
     )
 
 
 def _anomaly_label(spark, sf_dir):
-    df = _labelled_fixed(spark, sf_dir)
+    df = _labelled_fixed(spark, sf_dir, reports.NARROW)
     return anomaly.as_report(
         df.select(*LINE_ID_COLS, "is_anomaly", "z_score", "rejection_rate", "anomaly_flag"),
         round_features=6,
@@ -195,31 +195,31 @@ def _compared(summary):
 
 
 def _anomaly_summary(spark, sf_dir):
-    return _compared(anomaly.anomaly_summary(_labelled_fixed(spark, sf_dir)))
+    return _compared(anomaly.anomaly_summary(_labelled_fixed(spark, sf_dir, reports.NARROW)))
 
 
 def _anomaly_breakdown(spark, sf_dir):
-    return anomaly.anomaly_breakdown(_labelled_fixed(spark, sf_dir))
+    return anomaly.anomaly_breakdown(_labelled_fixed(spark, sf_dir, reports.NARROW))
 
 
 def _run_metrics(spark, sf_dir):
-    return anomaly.run_metrics(_labelled_fixed(spark, sf_dir))
+    return anomaly.run_metrics(_labelled_fixed(spark, sf_dir, reports.NARROW))
 
 
 def _anomaly_report_iforest(spark, sf_dir):
-    return anomaly.as_report(anomaly.anomaly_report(_labelled_iforest(spark, sf_dir)))
+    return anomaly.as_report(anomaly.anomaly_report(_labelled_iforest(spark, sf_dir)), round_features=6)
 
 
 def _anomaly_summary_iforest(spark, sf_dir):
-    return _compared(anomaly.anomaly_summary(_labelled_iforest(spark, sf_dir)))
+    return _compared(anomaly.anomaly_summary(_labelled_iforest(spark, sf_dir, reports.NARROW)))
 
 
 def _anomaly_breakdown_iforest(spark, sf_dir):
-    return anomaly.anomaly_breakdown(_labelled_iforest(spark, sf_dir))
+    return anomaly.anomaly_breakdown(_labelled_iforest(spark, sf_dir, reports.NARROW))
 
 
 def _run_metrics_iforest(spark, sf_dir):
-    return anomaly.run_metrics(_labelled_iforest(spark, sf_dir))
+    return anomaly.run_metrics(_labelled_iforest(spark, sf_dir, reports.NARROW))
 
 
 QUERIES: dict[str, QueryFn] = {

@@ -122,3 +122,31 @@ def test_null_group_meets_its_statistics_and_is_spread(spark):
     )
     assert {r["n"] for r in got} == {3000} and sum(r["count"] for r in got) == 3000
     assert len(got) > 1 and max(r["count"] for r in got) < 3000
+
+
+def test_header_detail_join_is_worked_out_once(spark):
+    """The final plan reads spooled lines and statistics, not the tables again."""
+    poh, pod, v, p, s, c = _hot_tables(spark, 600)
+    plan = anomaly.price_deviation_flags(poh, pod, v, p, s, c)._jdf.queryExecution().executedPlan().toString()
+    assert "spool-rows" in plan and "spool-stats" in plan and "ExistingRDD" not in plan
+
+
+def test_hot_group_without_prices_is_spread(spark):
+    """A group counts all its rows, so one whose prices are NULL is salted as well."""
+    from pyspark.sql import functions as F
+
+    from ledgerlark.functions.moments import mean, moments
+    from ledgerlark.plans import skew
+
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("purchaseorderid"),
+        F.when(F.col("id") % 3 > 0, F.col("id").cast("decimal(12,2)")).alias("price"),
+    )
+
+    def run():
+        out = skew.attach_group_stats(rows, ["k"], moments(rows, "price"), lambda t: t.select("k", skew.GROUP_ROWS, "m_n", mean().alias("avg")))
+        return out.withColumn("task", F.spark_partition_id()).where("k = -1").groupBy("m_n", "avg", "task").count().collect()
+
+    got = _with_conf(spark, SKEW_CONF, run)
+    assert {(r.m_n, r.avg) for r in got} == {(0, None)} and sum(r["count"] for r in got) == 3000
+    assert len(got) > 1 and max(r["count"] for r in got) < 3000
