@@ -1,22 +1,27 @@
 """Isolation forest as Spark jobs (workload operators 15 and 16).
 
-Fit (Liu, Ting & Zhou, ICDM 2008):
-  * each tree sees an independent uniform sample of ``psi = min(max_samples, n)``
-    rows.  Membership is decided by hashing a row key, so it does not depend on
-    partitioning or task retries: a cheap one-hash pre-filter keeps about
-    ``n_trees * oversample * psi`` rows, then each kept row joins tree ``t`` when a
-    second hash of (row, t) falls under the per-tree rate.  Each tree's sample is
-    trimmed to exactly ``psi`` rows by hash order (rows per tree are bounded by
-    construction: about ``oversample * psi``).
-  * ``groupBy(tree_id).applyInPandas`` grows one tree per group: random feature
-    among the non-constant ones, split point uniform in (min, max), height limit
-    ``ceil(log2 psi)``.  The RNG of tree t is seeded with (seed, t).
-  * the node table (at most ``n_trees * (2 psi - 1)`` rows, a fixed bound) is
-    collected as the fitted model.
-
-Score: the model's arrays are broadcast once; a pandas UDF walks all trees for an
-Arrow batch at a time with numpy (no per-row Python).  Path length is the leaf depth
-plus ``c(leaf size)``; score = -2 ** (-mean path / c(psi)) (lower = more anomalous).
+Fit (Liu, Ting & Zhou, ICDM 2008), with all random numbers taken from ``md5`` of (seed,
+tree, node or row key), so the forest depends on the data alone, not on partitioning,
+retries or the engine:
+  * a pool of about ``pool_rows`` rows (all, if the table has no more) is drawn by one
+    hash per row; from the pool each tree takes the ``psi = min(max_samples, n)`` rows
+    whose hash for the tree is smallest (four trees share a digest, eight digits each);
+  * the sample is dealt by tree once, and trees grow level by level: a window aggregate
+    over (tree, node) gives each node its rows' count and each feature's least and
+    largest value; the node's hash chooses a feature among those that are not constant
+    and a place between its ends, and its rows go on to the two children.  The height
+    limit is ``ceil(log2 psi)``.  A window holds the rows of one node, ``psi`` at most;
+  * the result is the node table, at most ``n_trees * (2 psi - 1)`` rows, spooled.
+    Nodes are numbered as in a heap: the children of ``i`` are ``2 i + 1`` and ``2 i + 2``.
+
+Features are read in single precision, so noise in the last binary digits of a derived
+feature never makes it look as if it varied.
+
+Score: the node table's arrays are broadcast once (its size is bounded by the parameters
+above, not by the data); a pandas UDF walks all trees for an Arrow batch at a time with
+numpy (no per-row Python).  Path length is the leaf depth plus ``c(leaf size)``, on a grid
+of 2**-20 so that sums over trees are exact in any order; score = -2 ** (-mean path /
+c(psi)) (lower = more anomalous).
 """
 
 from __future__ import annotations
@@ -26,14 +31,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.plans.spool import spool
 from ledgerlark.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
-HASH_RANGE = 2**62  # hash buckets for sampling rates; fine-grained even at ~1e-9
+HASH_RANGE = 2**52  # a node's hashes are 13 hex digits each
+PATH_GRID = 2.0**20  # path lengths are multiples of 1 / PATH_GRID
 
 NODE_SCHEMA = T.StructType(
     [
@@ -122,8 +129,8 @@ class IsolationForestModel:
         return spark.createDataFrame(pdf, NODE_SCHEMA)
 
     def leaf_path(self) -> np.ndarray:
-        """depth + c(size) for every node (used at leaves)."""
-        return self.depth.astype(np.float64) + average_path_length(self.size)
+        """depth + c(size) for every node (used at leaves), on the grid of path lengths."""
+        return self.depth.astype(np.float64) + np.floor(average_path_length(self.size) * PATH_GRID + 0.5) / PATH_GRID
 
     def arrays(self) -> dict:
         """Trees in heap layout for scoring: node h has children 2h+1 and 2h+2.
@@ -166,8 +173,8 @@ def score_matrix(x: np.ndarray, m: dict) -> np.ndarray:
     """Anomaly scores for the rows of ``x`` (n x n_features) under ``arrays()`` ``m``.
 
     x must be NaN-free (features are filled with 0).  Per tree: ``depth`` rounds of
-    gather + compare + index arithmetic over the whole batch; path lengths are summed
-    tree by tree in a fixed order.
+    gather + compare + index arithmetic over the whole batch.  Path lengths lie on a grid,
+    so their sums are exact.
     """
     n = x.shape[0]
     n_trees = m["feature"].shape[0]
@@ -190,8 +197,8 @@ def score_matrix(x: np.ndarray, m: dict) -> np.ndarray:
 
 
 def feature_matrix(cols) -> list[F.Column]:
-    """Feature columns as doubles with NULL and NaN -> 0 (as the training matrix is built)."""
-    return [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols]
+    """Feature columns in single precision, as doubles, with NULL and NaN -> 0."""
+    return [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).cast("float").cast("double") for c in cols]
 
 
 def score_column(model: IsolationForestModel, spark: SparkSession | None = None) -> F.Column:
@@ -214,94 +221,137 @@ def iforest_score(df: DataFrame, model: IsolationForestModel, out: str = "anomal
     return df.withColumn(out, score_column(model, df.sparkSession))
 
 
-def _grow_tree(features, psi, seed):
-    n_feat = len(features)
-    height_limit = int(math.ceil(math.log2(max(psi, 2))))
+#: Trees that share a digest; each has eight of its hex digits.
+TREES_OF_DIGEST = 4
 
-    def grow(key, pdf):
-        tree_id = int(key[0])
-        pdf = pdf.sort_values(["_tree_hash", "_row_hash"], kind="mergesort")
-        x = pdf[[f"_f{i}" for i in range(n_feat)]].to_numpy(dtype=np.float64)
-        rng = np.random.default_rng([seed, tree_id])
-        out = []
-        stack = [(np.arange(len(x)), 0, 0)]
-        next_id = 1
-        pending = {}
-        while stack:
-            idx, depth, node_id = stack.pop()
-            size = len(idx)
-            feat, thr, left, right = -1, 0.0, 0, 0
-            if depth < height_limit and size > 1:
-                xs = x[idx]
-                lo, hi = xs.min(axis=0), xs.max(axis=0)
-                cand = np.flatnonzero(hi > lo)
-                if len(cand):
-                    feat = int(cand[rng.integers(len(cand))])
-                    thr = float(rng.uniform(lo[feat], hi[feat]))
-                    go_left = xs[:, feat] <= thr
-                    left, right = next_id, next_id + 1
-                    next_id += 2
-                    # push right first so the left subtree is grown first
-                    stack.append((idx[~go_left], depth + 1, right))
-                    stack.append((idx[go_left], depth + 1, left))
-            pending[node_id] = (tree_id, node_id, feat, thr, left, right, size, depth)
-        out = [pending[i] for i in sorted(pending)]
-        return pd.DataFrame(out, columns=[f.name for f in NODE_SCHEMA.fields])
-
-    return grow
 
+def _digest(*parts) -> Column:
+    """md5 of the parts, joined by colons, as 32 hex digits."""
+    return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
 
-def iforest_fit(
+
+def _cut(rate: float, digits: int) -> str:
+    """Hex digits below which a share ``rate`` of all lies; beyond all from 1 on."""
+    return f"{math.ceil(rate * 16**digits):0{digits}x}" if rate < 1.0 else "g"
+
+
+def _sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int, pool_rows: int, rate: float) -> DataFrame:
+    """``(tree_id, f0, f1, ...)``: for each tree the ``psi`` pool rows of smallest hash.
+
+    Only hashes below ``rate`` are looked at; too low a rate shows as trees of fewer rows.
+    """
+    values = [c for c in x.columns if c != "row"]
+    pool = x.where(F.substring(_digest(seed, F.col("row")), 1, 13) < _cut(pool_rows / n, 13))
+    some = F.explode(F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_OF_DIGEST))).alias("some")
+    digests = pool.select("*", some).withColumn("digest", _digest(seed, F.col("some"), F.col("row")))
+    draws = [F.substring("digest", 1 + 8 * k, 8) for k in range(TREES_OF_DIGEST)]
+    trees = F.array(*[F.struct((F.col("some") * TREES_OF_DIGEST + k).alias("tree_id"), d.alias("draw")) for k, d in enumerate(draws)])
+    drawn = digests.where(F.least(*draws) < _cut(rate, 8)).select("row", *values, F.inline(trees))
+    drawn = drawn.where((F.col("draw") < _cut(rate, 8)) & (F.col("tree_id") < n_trees))
+    # one shuffle by tree serves sampling and all levels; a number keeps AQE from merging it
+    dealt = drawn.repartition(min(n_trees, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tree_id")
+    w = Window.partitionBy("tree_id").orderBy("draw", "row", *values)
+    return dealt.withColumn("place", F.row_number().over(w)).where(F.col("place") <= psi).select("tree_id", *values)
+
+
+def _split(rows: DataFrame, k: int, n_features: int, seed: int) -> DataFrame:
+    """Level ``k``: every row's node gets its split (columns ``node_k``, ``feature_k``,
+    ``threshold_k``, ``size_k``), and the row its child in ``node``.
+
+    A node without a feature that varies keeps its rows.
+    """
+    here, every = "OVER (PARTITION BY tree_id, node)", range(n_features)
+    kept = rows.columns
+    ends = rows.selectExpr(
+        "*", f"count(1) {here} AS size",
+        *[f"min(f{i}) {here} AS low{i}" for i in every], *[f"max(f{i}) {here} AS high{i}" for i in every],
+    )
+    digest = _digest(seed, F.col("tree_id"), F.col("node")).alias("digest")
+    varied = F.expr(f"array_remove(array({', '.join(f'if(high{i} > low{i}, {i}, -1)' for i in every)}), -1) AS varied")
+    chance = "conv(substring(digest, {at}, 13), 16, 10) / " + repr(float(HASH_RANGE))
+    chosen = ends.select("*", digest, varied).selectExpr(
+        "*", f"get(varied, int(floor({chance.format(at=1)} * size(varied)))) AS feature", f"{chance.format(at=14)} AS place"
+    )
+    of = {c: f"get(array({', '.join(f'{c}{i}' for i in every)}), feature) AS {c}" for c in ("low", "high", "f")}
+    placed = chosen.selectExpr("*", *of.values()).selectExpr("*", "low + place * (high - low) AS inside")
+    cut = placed.selectExpr("*", "if(inside < high, inside, low) AS threshold")
+    return cut.selectExpr(
+        *[c for c in kept if c != "node"],
+        f"node AS node_{k}", f"feature AS feature_{k}", f"threshold AS threshold_{k}", f"size AS size_{k}",
+        "if(feature IS NULL, node, node * 2 + if(f <= threshold, 1, 2)) AS node",
+    )
+
+
+def _grow(sample: DataFrame, n_features: int, height: int, seed: int) -> DataFrame:
+    """Node table of the trees grown on ``sample``."""
+    rows = sample.withColumn("node", F.lit(0))
+    for k in range(height):
+        rows = _split(rows, k, n_features, seed)
+    ends = rows.selectExpr("*", "count(1) OVER (PARTITION BY tree_id, node) AS size")
+    met = [f"struct(node_{k} AS node, feature_{k} AS feature, threshold_{k} AS threshold, size_{k} AS size)" for k in range(height)]
+    leaf = "struct(node, int(null) AS feature, double(null) AS threshold, size)"
+    found = (
+        ends.selectExpr("tree_id", f"inline(array({', '.join([*met, leaf])}))")
+        .groupBy("tree_id", "node")
+        .agg(F.max("feature").alias("feature"), F.max("threshold").alias("threshold"), F.max("size").alias("size"))
+    )
+    return found.selectExpr(
+        "int(tree_id) AS tree_id",
+        "node AS node_id",
+        "coalesce(feature, -1) AS feature",
+        "coalesce(threshold, 0D) AS threshold",
+        "if(feature IS NULL, 0, node * 2 + 1) AS left",
+        "if(feature IS NULL, 0, node * 2 + 2) AS right",
+        "size",
+        "int(floor(log2(node + 1.5D))) AS depth",
+    )
+
+
+def fit_nodes(
     df: DataFrame,
     features: list[str],
     row_key: list[str],
     n_trees: int = 200,
     max_samples: int = 256,
     seed: int = 42,
-    oversample: float = 1.35,
-) -> IsolationForestModel:
-    """Fit an isolation forest on ``features`` of ``df``; ``row_key`` must be unique.
+    pool_rows: int | None = None,
+) -> tuple[DataFrame, int]:
+    """Node table of a forest fitted on ``features`` of ``df``, and its sample size ``psi``.
 
-    Reads ``df`` three times or more (count, sizes, sample): pass a checkpointed / file-backed DataFrame.
+    ``row_key`` names a row; rows that share one are drawn together.  ``pool_rows``
+    (``n_trees * max_samples`` by default) bounds the rows that sampling hashes per tree.
+    Reads ``df`` twice (count, pool): pass a spooled / file-backed DataFrame.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    fx = [c.alias(f"_f{i}") for i, c in enumerate(feature_matrix(features))]
-    row_hash = F.xxhash64(*[F.col(c) for c in row_key], F.lit(seed))
-    x = df.select(*fx, row_hash.alias("_row_hash"))
-    n = x.count()
+    pool_rows = pool_rows or n_trees * max_samples
+    row = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key])
+    x = df.select(row.alias("row"), *[c.alias(f"f{i}") for i, c in enumerate(feature_matrix(features))])
+    n = df.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty input")
-    psi = int(min(max_samples, n))
+    psi = min(max_samples, n)
+    height = math.ceil(math.log2(max(psi, 2)))
+    # enough for psi rows of every tree but for odds below 1e-16; seen and mended if not
+    rate = min(1.0, (psi + 10 * math.sqrt(psi) + 20) / min(n, pool_rows))
     while True:
-        keep_rate = min(1.0, n_trees * oversample * psi / n)
-        tree_rate = min(1.0, oversample * psi / (n * keep_rate))
-        keep_cut = int(keep_rate * HASH_RANGE)
-        tree_cut = int(tree_rate * HASH_RANGE)
-
-        kept = x if keep_rate >= 1.0 else x.where(F.pmod(F.col("_row_hash"), F.lit(HASH_RANGE)) < keep_cut)
-        every = F.sequence(F.lit(0), F.lit(n_trees - 1))
-        trees = every if tree_rate >= 1.0 else F.filter(
-            every, lambda t: F.pmod(F.xxhash64(F.col("_row_hash"), t), F.lit(HASH_RANGE)) < F.lit(tree_cut)
-        )
-        member = kept.select("*", F.explode(trees).alias("tree_id")).withColumn(
-            "_tree_hash", F.xxhash64(F.col("_row_hash"), F.col("tree_id"), F.lit(seed))
-        )
-        # every tree gets exactly psi rows: draw more until the smallest has enough
-        full = member.groupBy("tree_id").count().where(F.col("count") >= psi).count()
-        if full == n_trees or tree_rate * keep_rate >= 1.0:
-            break
-        oversample *= 2
-    w = Window.partitionBy("tree_id").orderBy("_tree_hash", "_row_hash")
-    sample = member.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
-    nodes = (
-        sample.groupBy("tree_id")
-        .applyInPandas(_grow_tree(features, psi, seed), NODE_SCHEMA)
-        .collect()  # bounded: n_trees * (2 * psi - 1) rows
-    )
-    if not nodes:
-        raise RuntimeError("no tree received a sample")
-    return IsolationForestModel.from_nodes(nodes, features, psi, seed)
+        nodes = spool(_grow(_sample(x, n, psi, n_trees, seed, pool_rows, rate), len(features), height, seed), "forest")
+        if rate >= 1.0 or nodes.where((F.col("node_id") == 0) & (F.col("size") == psi)).count() == n_trees:
+            return nodes, psi
+        rate = min(1.0, rate * 4)
+
+
+def iforest_fit(
+    df: DataFrame,
+    features: list[str],
+    row_key: list[str],
+    n_trees: int = 200,
+    max_samples: int = 256,
+    seed: int = 42,
+    pool_rows: int | None = None,
+) -> IsolationForestModel:
+    """A fitted forest for scoring: the node table of ``fit_nodes``, at most
+    ``n_trees * (2 * max_samples - 1)`` rows, as arrays."""
+    nodes, psi = fit_nodes(df, features, row_key, n_trees, max_samples, seed, pool_rows)
+    return IsolationForestModel.from_nodes(nodes.collect(), features, psi, seed)
 
 
 def fixed_forest(features: list[str]) -> IsolationForestModel:

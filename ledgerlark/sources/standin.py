@@ -14,7 +14,7 @@ Fixed values of the mapping:
   * purchase-order status = first character of the order priority (1..5)
   * rejected quantity = line number (capped at the quantity) for return flag 'R'
   * standard cost = list price * (50 + size) / 100
-  * territory / salesperson "YTD" year = 2000, "last year" = 1999
+  * territory / salesperson "YTD" year = latest year of orders, "last year" = the one before
   * territory cost forced to 0 for nation key >= 20; salespeople of nation >= 20
     have no territory; quota is NULL for a negative account balance,
     else balance * 10000; bonus = 100 * (nation + 1); commission = (nation % 5) / 100
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exprs import FRACTION, money
 from ledgerlark.sources.parquet import read_table
 
-YTD_YEAR = 2000
-LAST_YEAR = 1999
 NO_COST_FROM_NATION = 20
 NO_TERRITORY_FROM_NATION = 20
 QUOTA_FACTOR = 10000
@@ -43,10 +41,10 @@ def _offer_id(discount) -> F.Column:
     return F.round(discount * F.lit(100)).cast("int")
 
 
-def _in_years(ts_col: str) -> F.Column:
-    """Range predicate on the two report years (pushed into the parquet scan)."""
-    return (F.col(ts_col) >= F.lit(f"{LAST_YEAR}-01-01").cast("timestamp_ntz")) & (
-        F.col(ts_col) < F.lit(f"{YTD_YEAR + 1}-01-01").cast("timestamp_ntz")
+def _in_years(ts_col: str, year: int) -> F.Column:
+    """Range predicate on ``year`` and the one before (pushed into the parquet scan)."""
+    return (F.col(ts_col) >= F.lit(f"{year - 1}-01-01").cast("timestamp_ntz")) & (
+        F.col(ts_col) < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
     )
 
 
@@ -71,6 +69,12 @@ class StandInTables:
             self._raw[name] = read_table(self.spark, self.sf_dir, name)
         return self._raw[name]
 
+    @cached_property
+    def ytd_year(self) -> int:
+        """Latest year of orders (1970 without any): one narrow read, then a literal."""
+        last = self.raw("orders").agg(F.year(F.max("o_orderdate"))).first()[0]
+        return 1970 if last is None else int(last)
+
     # ---- purchasing --------------------------------------------------------------
     @cached_property
     def vendor(self) -> DataFrame:
@@ -176,24 +180,24 @@ class StandInTables:
     def salesterritory(self) -> DataFrame:
         n = self.raw("nation")
         r = self.raw("region")
-        o = self.raw("orders").where(_in_years("o_orderdate"))
+        o = self.raw("orders").where(_in_years("o_orderdate", self.ytd_year))
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         sales = (
             o.join(c, o.o_custkey == c.c_custkey)
             .groupBy("c_nationkey")
             .agg(
-                _year_sum("o_orderdate", money("o_totalprice"), YTD_YEAR).alias("sales_ytd"),
-                _year_sum("o_orderdate", money("o_totalprice"), LAST_YEAR).alias("sales_ly"),
+                _year_sum("o_orderdate", money("o_totalprice"), self.ytd_year).alias("sales_ytd"),
+                _year_sum("o_orderdate", money("o_totalprice"), self.ytd_year - 1).alias("sales_ly"),
             )
         )
-        li = self.raw("lineitem").where(_in_years("l_shipdate"))
+        li = self.raw("lineitem").where(_in_years("l_shipdate", self.ytd_year))
         s = self.raw("supplier").select("s_suppkey", "s_nationkey")
         cost = (
             li.join(s, li.l_suppkey == s.s_suppkey)
             .groupBy("s_nationkey")
             .agg(
-                _year_sum("l_shipdate", money("l_extendedprice"), YTD_YEAR).alias("cost_ytd"),
-                _year_sum("l_shipdate", money("l_extendedprice"), LAST_YEAR).alias("cost_ly"),
+                _year_sum("l_shipdate", money("l_extendedprice"), self.ytd_year).alias("cost_ytd"),
+                _year_sum("l_shipdate", money("l_extendedprice"), self.ytd_year - 1).alias("cost_ly"),
             )
         )
         no_cost = F.col("n_nationkey") >= NO_COST_FROM_NATION
@@ -217,10 +221,10 @@ class StandInTables:
     @cached_property
     def salesperson(self) -> DataFrame:
         s = self.raw("supplier")
-        li = self.raw("lineitem").where(_in_years("l_shipdate"))
+        li = self.raw("lineitem").where(_in_years("l_shipdate", self.ytd_year))
         ship = li.groupBy("l_suppkey").agg(
-            _year_sum("l_shipdate", money("l_extendedprice"), YTD_YEAR).alias("ytd"),
-            _year_sum("l_shipdate", money("l_extendedprice"), LAST_YEAR).alias("ly"),
+            _year_sum("l_shipdate", money("l_extendedprice"), self.ytd_year).alias("ytd"),
+            _year_sum("l_shipdate", money("l_extendedprice"), self.ytd_year - 1).alias("ly"),
         )
         zero = F.lit(0).cast("decimal(22,2)")
         return s.join(ship, s.s_suppkey == ship.l_suppkey, "left").select(

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerlark import oracle, workload
 from tests.conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -37,7 +38,7 @@ def duck():
     return con
 
 
-ORACLE_KEYS = sorted(entry.oracle_sql())
+ORACLE_KEYS = sorted(oracle.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ORACLE_KEYS)
@@ -53,12 +54,9 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(srows, key=_key) == sorted(drows, key=_key)
 
 
-def test_every_query_has_oracle_or_is_forest_based():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {
-        "iforest_model", "iforest_scores", "anomaly_report_iforest",
-        "anomaly_summary_iforest", "anomaly_breakdown_iforest", "run_metrics_iforest",
-    }
+def test_every_query_has_oracle():
+    assert set(workload.queries()) == set(ORACLE_KEYS)
+    assert set(ORACLE_KEYS) <= set(entry.queries()) & set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):
