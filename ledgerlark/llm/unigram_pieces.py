@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words whose ids a Python worker remembers, at most.
 CACHE_WORDS = 600_000
+#: Bytes of words that are segmented together, and from which on a word is taken alone.
+TOGETHER, ALONE = 1 << 18, 512
 #: Characters of text that are split at once.
 GROUP_CHARS = 1 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -110,6 +112,7 @@ class Pieces:
         self.scores = [sp.get_score(i) for i in plain]
         self.unknown_score = min(self.scores, default=0.0) - 10.0
         self.trie = DoubleArray([self.names[i].encode() for i in plain])
+        self.arrays = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
         #: Whether a text's words can be segmented one by one.
         self.by_word = not any(MARK in self.names[i].lstrip(MARK) for i in plain)
         self.first_byte, self.is_byte = min(self.byte_ids), np.zeros(len(self.names), bool)
@@ -157,6 +160,91 @@ class Pieces:
             at = back[at]
         return out[::-1]
 
+    def segment_all(self, words: list[str]) -> list[bytes]:
+        """Ids of the best segmentation of each marked word, as little-endian 32-bit numbers.
+
+        The trie is walked from all characters of all words at once; then the words' best
+        scores are carried on together, byte by byte.
+        """
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(length)
+        first = np.repeat(ends - length, length)  # of each byte's word
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        width = np.select([data[starts] < 0x80, data[starts] < 0xE0, data[starts] < 0xF0], [1, 2, 3], 4)
+        limit = np.repeat(ends, length)[starts]
+        base, check, value = self.arrays
+        plain, scores = np.array(self.plain, np.int32), np.array(self.scores)
+        # edges: a piece from a character's first byte to the byte after its last
+        begin, stop, piece = [], [], []
+        at, node, whole = np.arange(len(starts)), np.zeros(len(starts), np.int32), np.zeros(len(starts), bool)
+        depth = 0
+        while len(at):
+            at, node = (x[starts[at] + depth < limit[at]] for x in (at, node))
+            step = base[node] + data[starts[at] + depth]
+            here = check[step] == node
+            at, node = at[here], step[here]
+            depth += 1
+            found = value[node] >= 0
+            begin.append(starts[at[found]])
+            stop.append(begin[-1] + depth)
+            piece.append(value[node[found]])
+            whole[at[found & (width[at] == depth)]] = True
+        bare = np.flatnonzero(~whole)
+        begin, stop = (np.concatenate([*x, y]) for x, y in ((begin, starts[bare]), (stop, starts[bare] + width[bare])))
+        piece = np.concatenate([*piece, np.full(len(bare), -1)]).astype(np.int64)
+        gain = np.where(piece < 0, self.unknown_score, scores[piece])
+        # best[k]: of the bytes before k in k's word, with k = 0 for all words' starts
+        offset = stop - first[begin]
+        order = np.lexsort((begin, stop, offset))
+        begin, stop, piece, gain, offset = (x[order] for x in (begin, stop, piece, gain, offset))
+        best, back, chosen = np.zeros(len(data) + 1), np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+        fresh = begin == first[begin]
+        cuts = np.append(np.flatnonzero(np.append(True, offset[1:] != offset[:-1])), len(offset))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            total = np.where(fresh[lo:hi], 0.0, best[begin[lo:hi]]) + gain[lo:hi]
+            heads = np.flatnonzero(np.append(True, stop[lo + 1 : hi] != stop[lo : hi - 1]))
+            most = np.maximum.reduceat(total, heads)
+            sizes = np.diff(np.append(heads, hi - lo))
+            wins = np.flatnonzero(total == np.repeat(most, sizes))
+            wins = lo + wins[np.append(True, stop[lo + wins[1:]] != stop[lo + wins[:-1]])]  # the longest of equals
+            best[stop[wins]], back[stop[wins]], chosen[stop[wins]] = most, begin[wins], piece[wins]
+        on_path = np.zeros(len(data) + 1, bool)
+        at = ends[length > 0]
+        while len(at):
+            on_path[at] = True
+            at = back[at]
+            at = at[at != first[at]]
+        stops = np.flatnonzero(on_path)
+        known = chosen[stops] >= 0
+        count = np.where(known, 1, stops - back[stops])
+        place = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), "<i4")
+        ids[place[known]] = plain[chosen[stops[known]]]
+        odd = np.flatnonzero(~known)
+        if len(odd):
+            inner = np.arange(int(count[odd].sum())) - np.repeat(np.cumsum(count[odd]) - count[odd], count[odd])
+            ids[np.repeat(place[odd], count[odd]) + inner] = np.array(self.byte_ids)[data[np.repeat(back[stops[odd]], count[odd]) + inner]]
+        flat = ids.tobytes()
+        upto = np.append(0, np.cumsum(count))[np.searchsorted(stops, ends, "right")] * 4
+        return [flat[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+    def _learn(self, words) -> None:
+        """Segments words and remembers them: short ones many at a time."""
+        group, size = [], 0
+        for w in words:
+            if len(w) >= ALONE:
+                self.known[w] = np.array(self.segment(w), "<i4").tobytes()
+                continue
+            group.append(w)
+            size += len(w)
+            if size >= TOGETHER:
+                self.known.update(zip(group, self.segment_all(group), strict=True))
+                group, size = [], 0
+        if group:
+            self.known.update(zip(group, self.segment_all(group), strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = []
@@ -167,8 +255,7 @@ class Pieces:
         new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, new = {}, every
-        for w in new:
-            self.known[w] = np.array(self.segment(w), "<i4").tobytes()
+        self._learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
 
     def decode(self, ids) -> str:

@@ -424,3 +424,40 @@ def test_simhash_stage_null_and_shared_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r["doc_id"], r["text"].lower()) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(7, a), (None, b), (5, c), (5, d)], key=str)
+
+
+def test_segment_many_words_at_once():
+    """Words segmented together equal those segmented alone: unknown characters, bytes, ties."""
+    vocabulary = unigram_pieces.pieces(PIECES)
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("aé▁漢😀\x00z\ud800 ́bcdeing") for _ in range(rnd.randint(1, 40))) for _ in range(1500)]
+    words += ["a", "a" * 300, "▁", "▁▁▁the", "😀"]
+    assert vocabulary.segment_all(words) == [np.array(vocabulary.segment(w), "<i4").tobytes() for w in words]
+
+
+def test_round_trips(spark):
+    """The registered form: counts, checksum and sameness against encode and decode, a long unbroken text too."""
+    long = "".join(random.Random(2).choice("abcdefgh漢") for _ in range(30_000))
+    docs = [*corpus()[:60], (900, long), (901, "a  b"), (902, None), (903, "x▁y"), (904, "")]
+    got = {(r[0], r[3]): tuple(r) for r in unigram_pieces.round_trips(frame(spark, docs), PIECES).collect()}
+    vocabulary = unigram_pieces.pieces(PIECES)
+    for i, t in docs:
+        ids = np.concatenate([np.zeros(0, "<i4"), *vocabulary.encode([t or ""])])
+        crc = zlib.crc32(ids.astype("<i4").tobytes())
+        same = t is None or vocabulary.decode(ids.tolist()) == t
+        assert got[i, crc] == (i, len(ids), int(vocabulary.is_byte[ids].sum()), crc, same)
+        assert same == ("▁" not in (t or ""))
+
+
+def test_operators_leave_nothing_in_the_shared_folder(spark):
+    from ledgerlark.plans.spool import scope
+    from ledgerlark.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = frame(spark, corpus()[:40])
+    with scope(spark):
+        kneser_ney.score(docs, kneser_ney.train(docs), F.lit(True)).collect()
+        simhash_trie.simhash_near_dedup(docs, shingle=4, max_bits=4).collect()
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
