@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.session import ensure_checkpoint_dir
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ledgerlark.plans.spool import discard, register, shared_path
 
+__all__ = ["components", "discard", "partitions", "register", "shared_path", "small_batches", "spool", "union_labels"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def spool(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -23,7 +18,8 @@ def spool(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
     Cuts lineage so that a lost executor repeats only what follows, and lets Spark
     remove the shuffle files of the finished job.  Returns the frame and its path,
-    for :func:`discard`.
+    for :func:`discard`; what is not discarded goes with the scope it was written in
+    (``ledgerlark.plans.spool.scope``) or with the session.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -36,15 +32,10 @@ def spool(df: DataFrame, name: str) -> tuple[DataFrame, str]:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    register(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a spooled table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Bytes of an Arrow batch, at most (a single row may be longer).
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

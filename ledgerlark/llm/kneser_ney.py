@@ -40,10 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, shared_path, spool
+from .common import discard, partitions, register, shared_path, spool
 
 #: Bytes of text that a task counts or scores at once.
 CHUNK_BYTES = 4 << 20
+#: Shards of a model, at most: a worker that scores maps seven arrays of each, and Linux
+#: allows a process 65 530 maps by default.
+MAX_SHARDS = 8192
 #: Names no word can have, as they hold a blank.
 END, BEGIN = b" end", b" begin"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -353,7 +356,7 @@ def _store_continuations(model: Model):
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the texts of ``docs`` and store the model in the shared folder."""
     spark = docs.sparkSession
-    shards = partitions(spark)
+    shards = min(partitions(spark), MAX_SHARDS)
     path = shared_path(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).alias("text"))
 
@@ -363,7 +366,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     dealt = words.select(place.alias("shard"), "h", "n").repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
     held, _ = spool(_by_shard(dealt, _store_words(path), "shard int, words long, tokens long"), "words")
     sizes = {r["shard"]: r for r in held.collect()}  # one row per shard
+    if sizes:
+        register(spark, path)  # the arrays go with the scope or the session
     offsets = np.append(0, np.cumsum([sizes[s]["words"] if s in sizes else 0 for s in range(shards)]))
+    if offsets[-1] + 2 >= 1 << 31:
+        raise ValueError(f"{offsets[-1]} distinct words: a pair's key has 31 bits for each of its two words")
     tokens = sum(r["tokens"] for r in sizes.values())
     model = Model(path, shards, tuple(offsets.tolist()), tokens, ())
 
