@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exprs import (
     asc_nulls_last,
     exact_avg,
+    exact_ratio,
     growth_pct,
     month_start,
     pct,
@@ -240,5 +241,5 @@ def promotion_impact(offer: DataFrame, sod: DataFrame) -> DataFrame:
         F.col("disc").cast("double").alias("total_discount_given"),
         F.col("net").cast("double").alias("net_revenue"),
         pct("disc", "gross").alias("effective_discount_rate_pct"),
-        round_ratio(safe_div("net", "line_items_sold")).alias("revenue_per_line_item"),
+        exact_ratio("net", "line_items_sold").alias("revenue_per_line_item"),
     ).orderBy(F.col("net_revenue").desc_nulls_first(), "offer_description")

@@ -28,6 +28,15 @@ LOGICAL_TABLES = (
 )
 
 
+# Whole-number keys of the tables that grow with the business.
+FACT_KEYS = {
+    "purchasing.purchaseorderheader": "purchaseorderid",
+    "purchasing.purchaseorderdetail": "purchaseorderid",
+    "sales.salesorderheader": "salesorderid",
+    "sales.salesorderdetail": "salesorderid",
+}
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """Read ``{base_dir}/{name}.parquet`` (a file or a directory of part files).
 
@@ -49,13 +58,21 @@ def read_logical_jdbc(
 ) -> dict[str, DataFrame]:
     """Load the logical tables straight from a database over JDBC.
 
-    ``partitioning`` maps a table to ``(column, lower, upper, num_partitions)`` so big
-    fact tables are read by many parallel range queries instead of one connection.
+    ``partitioning`` maps a table to ``(column, lower, upper, num_partitions)``: range
+    queries that run side by side.  A fact table without an entry is read by ranges of
+    its key, whose ends the database is asked for, over ``spark.sql.shuffle.partitions``
+    connections; the other tables over one.
     """
     props = dict(properties or {})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = {}
     for t in LOGICAL_TABLES:
         spec = (partitioning or {}).get(t)
+        if not spec and t in FACT_KEYS:
+            key = FACT_KEYS[t]
+            ends = spark.read.jdbc(url, f"(SELECT MIN({key}) AS low, MAX({key}) AS high FROM {t}) ends", properties=props).first()
+            if ends["low"] is not None:  # the upper end itself belongs to the last range
+                spec = (key, int(ends["low"]), int(ends["high"]) + 1, parts)
         if spec:
             column, lower, upper, n = spec
             out[t] = spark.read.jdbc(
@@ -86,6 +103,11 @@ class LogicalTables:
     def from_jdbc(cls, spark: SparkSession, url: str, **kw) -> "LogicalTables":
         return cls(read_logical_jdbc(spark, url, **kw))
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str = "default", tables=LOGICAL_TABLES) -> "LogicalTables":
+        """Tables of a catalog under their short names, e.g. as ``write_bucketed`` left them."""
+        return cls({t: spark.table(f"{database}.{t.split('.', 1)[1]}") for t in tables})
+
     def register_views(self) -> None:
         """Expose the tables to ``spark.sql`` under their short names."""
         for name in (t.split(".", 1)[1] for t in LOGICAL_TABLES):

@@ -43,3 +43,27 @@ def test_parquet_logical_tables_match_standin(spark):
         assert a.columns == b.columns, name
         assert a.count() == b.count(), name
         assert a.exceptAll(b).count() == 0, name
+
+
+def test_jdbc_reads_facts_by_ranges_of_their_key(spark):
+    """What is asked of a database, which isn't here: ends first, then as many ranges as partitions."""
+    from types import SimpleNamespace
+
+    from ledgerlark.sources.parquet import FACT_KEYS, LOGICAL_TABLES, read_logical_jdbc
+
+    asked = []
+
+    def jdbc(url, table, properties=None, **ranges):
+        asked.append((table, ranges))
+        empty = "salesorderdetail" in table
+        return SimpleNamespace(first=lambda: {"low": None if empty else 3, "high": None if empty else 90})
+
+    conf = SimpleNamespace(get=lambda key: "16")
+    fake = SimpleNamespace(read=SimpleNamespace(jdbc=jdbc), conf=conf)
+    own = {"sales.salesorderheader": ("orderid", 0, 7, 2)}
+    assert set(read_logical_jdbc(fake, "jdbc:x", partitioning=own)) == set(LOGICAL_TABLES)
+    got = dict(a for a in asked if not a[0].startswith("("))
+    assert got["purchasing.purchaseorderdetail"] == {"column": "purchaseorderid", "lowerBound": 3, "upperBound": 91, "numPartitions": 16}
+    assert got["sales.salesorderheader"] == {"column": "orderid", "lowerBound": 0, "upperBound": 7, "numPartitions": 2}
+    assert got["sales.salesorderdetail"] == {} and got["person.person"] == {}
+    assert sum(a[0].startswith("(") for a in asked) == len(FACT_KEYS) - 1

@@ -246,3 +246,32 @@ def test_iforest_draws_more_when_a_tree_lacks_rows(spark, monkeypatch):
     monkeypatch.setattr(iforest, "_sample", scarce)
     got = iforest.iforest_fit(df, FEATS, row_key=["id"], n_trees=9, max_samples=64, seed=2)
     assert len(rates) == 2 and (got.threshold == want.threshold).all() and (got.size == want.size).all()
+
+
+def test_exact_ratio_against_fractions(spark):
+    """Halves, signs, DECIMAL(19,4) and totals beyond 2**53 cents, as exact fractions say."""
+    from fractions import Fraction
+
+    from ledgerlark.functions.exprs import exact_ratio, growth_pct, pct
+
+    rnd = random.Random(5)
+    pairs = [("1", "8"), ("-1", "8"), ("1", "-8"), ("0.0005", "0.0100"), ("123456789012345.6789", "9999.9999"), ("1", "0"), (None, "1"), ("1", None),
+             ("90071992547409.93", "90071992547409.91"), ("1.005", "100"), ("2.675", "100"), ("-2.675", "100"), ("0", "7")]
+    pairs += [(f"{rnd.randint(-10**14, 10**14)}.{rnd.randint(0, 9999):04d}", f"{rnd.randint(1, 10**rnd.randint(1, 14))}.{rnd.randint(0, 9999):04d}") for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(F.col("a").cast("decimal(19,4)"), F.col("b").cast("decimal(19,4)"))
+
+    def rounded(x, places):
+        if x is None:
+            return None
+        scaled = abs(x) * 10**places
+        whole = int(scaled + Fraction(1, 2))
+        return float(Fraction(whole if x > 0 else -whole, 10**places))
+
+    got = df.select("a", "b", pct("a", "b").alias("p"), growth_pct("a", "b").alias("g"), exact_ratio("a", "b", 4).alias("r")).collect()
+    for r in got:
+        x = None if r.a is None or not r.b else Fraction(r.a) / Fraction(r.b)
+        assert r.p == (None if x is None else rounded(x * 100, 2))
+        assert r.g == (None if x is None else rounded((x - 1) * 100, 2))
+        assert r.r == (None if x is None else rounded(x, 4))
+    whole = spark.range(1).select(pct(F.lit(1), F.lit(3)).alias("x"), pct(F.lit(2**60), F.lit(2**61)).alias("y")).first()
+    assert (whole.x, whole.y) == (33.33, 50.0)

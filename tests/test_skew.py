@@ -150,3 +150,29 @@ def test_hot_group_without_prices_is_spread(spark):
     got = _with_conf(spark, SKEW_CONF, run)
     assert {(r.m_n, r.avg) for r in got} == {(0, None)} and sum(r["count"] for r in got) == 3000
     assert len(got) > 1 and max(r["count"] for r in got) < 3000
+
+
+def test_bucketed_orders_join_without_a_shuffle(spark, tmp_path):
+    from ledgerlark.sources.parquet import LogicalTables
+    from ledgerlark.sources.sinks import write_bucketed
+
+    poh, pod, v, *_ = _hot_tables(spark, 900)
+    names = {"purchasing.purchaseorderheader": poh, "purchasing.purchaseorderdetail": pod}
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed LOCATION '" + str(tmp_path / "db") + "'")
+    try:
+        for t, df in names.items():
+            write_bucketed(df, "bucketed." + t.split(".")[1], ["purchaseorderid"], 6, str(tmp_path / t))
+        t = LogicalTables.from_catalog(spark, "bucketed", tables=names)
+
+        def run():
+            lines = spend.po_lines(t.purchaseorderheader, t.purchaseorderdetail, header_cols=("orderdate",))
+            plan = lines._jdf.queryExecution().executedPlan().toString()
+            per_vendor = sorted(tuple(r) for r in spend.vendor_spend_ranked(v, t.purchaseorderheader, t.purchaseorderdetail).collect())
+            return plan, sorted(tuple(r) for r in lines.collect()), per_vendor
+
+        plan, rows, ranked = _with_conf(spark, SKEW_CONF, run)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert rows == sorted(tuple(r) for r in spend.po_lines(poh, pod, header_cols=("orderdate",)).collect())
+        assert ranked == sorted(tuple(r) for r in spend.vendor_spend_ranked(v, poh, pod).collect())
+    finally:
+        spark.sql("DROP DATABASE bucketed CASCADE")
