@@ -374,7 +374,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     )
     texts = src.join(open_, ["id", "tkey"]).select("id", "tkey", "text", "starts", "counts")
     windows = texts.mapInArrow(_sliced(_window_rows(length)), "name long, pair long, id long, tkey long, start int, windows int")
-    sorted_ = windows.repartition(n, "name").sortWithinPartitions("name", "pair", "id", "start")
+    sorted_ = windows.repartition(n, "name", "pair").sortWithinPartitions("name", "pair", "id", "start")
     second, _ = spool(sorted_.mapInArrow(_decide_windows(), "id long, tkey long, start int, windows int"), "windows")
     return first.where("not open").drop("open").unionByName(second)
 

@@ -411,8 +411,10 @@ def test_language_stage(spark):
 
     texts = ["the and of", "日本語", "12 .. !", "", None, "é"]
     df = spark.createDataFrame([(i, t, "en" if i == 0 else None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
-        assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [0, 1, 5]
+    for docs, lang in ((df, "en"), (df.withColumn("lang", F.lit(None).cast("string")), None)):
+        got = corpus_pipeline.language_id(spark, docs, "")
+        # the prediction fills what is not given
+        assert sorted((r["doc_id"], r["lang"]) for r in got.collect()) == [(0, lang), (1, lang), (5, lang)]
 
 
 def test_simhash_stage_null_and_shared_ids(spark):
@@ -461,3 +463,55 @@ def test_operators_leave_nothing_in_the_shared_folder(spark):
         simhash_trie.simhash_near_dedup(docs, shingle=4, max_bits=4).collect()
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+def test_pipeline_run(spark, tmp_path):
+    """All stages against brute force: letters, near copies, shared passages, pieces."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from ledgerlark.plans.spool import scope
+    from ledgerlark.session import ensure_checkpoint_dir
+
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(200)]
+    passages = [" ".join(rnd.choice(words) for _ in range(rnd.randint(12, 40))) for _ in range(6)]
+    docs = []
+    for i in range(90):
+        parts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 200))) for _ in range(rnd.randint(1, 3))]
+        docs.append((i, " ".join([*parts, *rnd.sample(passages, rnd.randint(0, 2))])))
+    docs += [(100, docs[3][1]), (101, docs[4][1].upper()), (102, None), (103, "12 .. !"), (104, ""), (105, passages[0]), (106, "a " * 9000)]
+    frame_ = spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame_.write.parquet(f"{tmp_path}/documents.parquet")
+
+    kept = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "")]
+    fps = {i: brute_fingerprint(t) for i, t in kept}
+    group = {i: i for i, _ in kept}
+    for i, _ in kept:
+        for j, _ in kept:
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if v == b else v for k, v in group.items()}
+    kept = [(i, t) for i, t in kept if group[i] == i]
+    seen, want = {}, []
+    for i, t in kept:
+        for p in range(len(t) - 49):
+            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], i), i)
+    whole = Tokenizer.from_file(WORD_BPE)
+    for i, t in kept:
+        gone = set()
+        for p in range(len(t) - 49):
+            if seen[t[p : p + 50]] < i:
+                gone.update(range(p, p + 50))
+        left = "".join(c for k, c in enumerate(t) if k not in gone)
+        if left:
+            ids = np.array([*whole.encode(left, add_special_tokens=False).ids, 1], "<u4")
+            want += [(i, p, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for p, s in enumerate(range(0, len(ids), 4096))]
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scope(spark):
+        got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert set(os.listdir(folder)) == before and len({i for i, *_ in want}) < len(kept) + 1 < len(docs)
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.simhash_near_dedup, corpus_pipeline.passage_removal, corpus_pipeline.packing):
+        assert stage(spark, frame_.limit(0), "").count() == 0
