@@ -18,25 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import hyper_lang, prefix_doubling, simhash_trie, slack_packing
-from ledgerlark.llm.common import spool
 from ledgerlark.llm.queries import tokenizer_file
+from ledgerlark.plans.spool import discard, register, scope, shared_path
 from ledgerlark.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, null texts too, and no others.
+    """Rejects texts without a letter, null texts too, and no others; fills a null ``lang``.
 
-    A text with a letter is in the learned language nearest to it, however far that is.
-    Where there is nothing to learn from, the same texts stay.
+    A text with a letter is in the learned language nearest to it, however far that is;
+    a ``lang`` that is given stays.  Where there is nothing to learn from, the same texts
+    stay and ``lang`` remains null.
     """
     ship_package(spark)
     docs, letter = docs.select(*COLUMNS), F.col("text").rlike(r"\p{L}")
     if docs.where("lang is not null").where(letter).isEmpty():
         return docs.where(letter)
     found = hyper_lang.identify(docs, F.lit(True))
-    return found.where(F.col("language.lang_pred") != hyper_lang.UNKNOWN).select(*COLUMNS)
+    known = found.where(F.col("language.lang_pred") != hyper_lang.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", "language.lang_pred")).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,8 +83,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.
+
+    What a stage spools goes when its result is written, and that when the next one's is;
+    what the last stage reads goes with the caller's scope or the session.
+    """
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = spool(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        register(spark, path)
+        if held:
+            discard(spark, held)
+        docs, held = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
