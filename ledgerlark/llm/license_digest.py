@@ -1,6 +1,6 @@
 """Licence scan by canonical digest.
 
-A text is brought to a canonical form: compatible Unicode forms and case folded,
+A text is brought to a canonical form: apostrophes, ligatures and case folded,
 copyright lines dropped, equivalent spellings unified, every run of signs that are
 neither letters nor digits one blank.  Its SHA-256 digest is joined with the digests of
 known licence texts brought to the same form, so whole texts match whole texts whatever

@@ -91,10 +91,12 @@ def echo_rejections(conversations: DataFrame, conv_col: str = "conv_id", learned
     """Rejected counterparts of whole conversations.
 
     The last assistant turn answers with the text of the turn before it, and what
-    followed it is dropped; conversations without an assistant turn stay as they are.
+    followed it is dropped; conversations without an assistant turn stay as they are;
+    turns without a conversation are left out.
     """
     order = Window.partitionBy(conv_col).orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    rows = conversations.select(conv_col, "turn", "role", "text").withColumn("at", F.row_number().over(order))
+    named = conversations.where(F.col(conv_col).isNotNull())
+    rows = named.select(conv_col, "turn", "role", "text").withColumn("at", F.row_number().over(order))
     rows = rows.withColumn("before", F.lag("text").over(order))
     last = rows.groupBy(conv_col).agg(F.max(F.when(F.col("role") == learned_role, F.col("at"))).alias("last"))
     rows = rows.join(last, conv_col).where(F.col("last").isNull() | (F.col("at") <= F.col("last")))

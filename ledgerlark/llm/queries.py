@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +22,6 @@ from . import (
     word_runs,
 )
 
-#: Folder of the public tokenizers' module (a parameter of the queries that use one).
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,7 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's file."""
-    return os.path.join(TOKENIZERS, name)
+    return str(public_tokenizers.path(name))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,3 +184,17 @@ def test_echo_rejections(spark):
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "r"), (2, 0, "user", "q"), (3, 0, "assistant", ""),
     ]
+
+
+def test_chat_clashing_names_null_ids_and_long_texts(spark):
+    """Columns with the operator's own names come along; turns without a conversation don't."""
+    long = "é" * 200_000
+    conv = [(1, 0, "user", long), (1, 1, "assistant", "b"), (None, 0, "user", "lost"), (None, 1, "assistant", "lost"), (2, 0, "user", "q")]
+    schema = "conv_id long, turn long, role string, text string, pair int, at string, c int, r int, rest boolean"
+    chosen = spark.createDataFrame([(*t, 1, "x", 2, 3, True) for t in conv], schema)
+    rejected = preference_chat.echo_rejections(chosen)
+    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in rejected.collect()) == [(1, 0, long), (1, 1, long), (2, 0, "q")]
+    extra = rejected.withColumns({k: F.lit(1) for k in ("pair", "at", "c", "r", "rest")})
+    got = {r["conv_id"]: r for r in preference_chat.preference_pairs(chosen, extra).collect()}
+    assert sorted(got) == [1, 2] and got[1]["prompt_turns"] == 1 and got[1]["prompt"] == f"<|im_start|>user\n{long}<|im_end|>\n"
+    assert got[1]["chosen"] == "<|im_start|>assistant\nb<|im_end|>\n" and long in got[1]["rejected"] and got[2]["chosen"] == ""
