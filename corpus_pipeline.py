@@ -37,8 +37,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.where("lang is not null").where(letter).isEmpty():
         return docs.where(letter)
     found = hyper_lang.identify(docs, F.lit(True))
-    known = found.where(F.col("language.lang_pred") != hyper_lang.UNKNOWN)
-    return known.withColumn("lang", F.coalesce("lang", "language.lang_pred")).select(*COLUMNS)
+    # a generated row keeps the filter from working out the prediction a second time
+    known = found.select(*COLUMNS, F.inline(F.array("language"))).where(F.col("lang_pred") != hyper_lang.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
