@@ -242,6 +242,8 @@ def _sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int, pool_rows:
     """
     values = [c for c in x.columns if c != "row"]
     pool = x.where(F.substring(_digest(seed, F.col("row")), 1, 13) < _cut(pool_rows / n, 13))
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pool = pool.repartition(parts, "row")  # few rows, much hashing: not by the scan's splits
     some = F.explode(F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_OF_DIGEST))).alias("some")
     digests = pool.select("*", some).withColumn("digest", _digest(seed, F.col("some"), F.col("row")))
     draws = [F.substring("digest", 1 + 8 * k, 8) for k in range(TREES_OF_DIGEST)]
@@ -249,7 +251,7 @@ def _sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int, pool_rows:
     drawn = digests.where(F.least(*draws) < _cut(rate, 8)).select("row", *values, F.inline(trees))
     drawn = drawn.where((F.col("draw") < _cut(rate, 8)) & (F.col("tree_id") < n_trees))
     # one shuffle by tree serves sampling and all levels; a number keeps AQE from merging it
-    dealt = drawn.repartition(min(n_trees, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tree_id")
+    dealt = drawn.repartition(min(n_trees, parts), "tree_id")
     w = Window.partitionBy("tree_id").orderBy("draw", "row", *values)
     return dealt.withColumn("place", F.row_number().over(w)).where(F.col("place") <= psi).select("tree_id", *values)
 
