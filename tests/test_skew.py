@@ -176,3 +176,21 @@ def test_bucketed_orders_join_without_a_shuffle(spark, tmp_path):
         assert ranked == sorted(tuple(r) for r in spend.vendor_spend_ranked(v, poh, pod).collect())
     finally:
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_prices_of_four_places(spark):
+    """DECIMAL(19,4) prices: equal prices have no deviation, others that of exact sums."""
+    from pyspark.sql import functions as F
+
+    poh, pod, v, p, s, c = _hot_tables(spark, 900)
+    fine = pod.withColumn("unitprice", (F.col("unitprice").cast("decimal(19,4)") + F.lit("0.0001").cast("decimal(19,4)")).cast("decimal(19,4)"))
+    lines = anomaly.po_line_base(poh, fine, v, p, s, c)
+    got = {(r.vendorid, r.productid, r.vp_count): r for r in anomaly.group_price_stats(lines).collect()}
+    plain = {(r.vendorid, r.productid, r.vp_count): r for r in anomaly.group_price_stats(anomaly.po_line_base(poh, pod, v, p, s, c)).collect()}
+    assert set(got) == set(plain) and len(got) > 20
+    for key, r in got.items():
+        if r.vp_std_price is None:
+            assert plain[key].vp_std_price is None
+        else:  # a shift of all prices leaves the deviation as it is
+            assert abs(r.vp_std_price - plain[key].vp_std_price) <= 1e-13 * max(1.0, r.vp_std_price)
+        assert abs(r.vp_avg_price - plain[key].vp_avg_price - 0.0001) < 1e-9
