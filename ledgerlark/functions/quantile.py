@@ -34,15 +34,37 @@ def order_key(x: Column) -> Column:
     guesses the exponent, and one step up or down mends the guess.
     """
     size = F.abs(x)
-    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))).cast("double")))
+    guess = _guess(size)
     part = size / F.pow(F.lit(2.0), guess)
-    power = F.when(part >= 2.0, guess + 1.0).when((part < 1.0) & (guess > -1022.0), guess - 1.0).otherwise(guess)
+    return _bits(x, guess, part)
+
+
+def _guess(size: Column) -> Column:
+    return F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))).cast("double")))
+
+
+def _bits(x: Column, guess: Column, part: Column) -> Column:
+    size = F.abs(x)
+    more = F.when(part >= 2.0, F.lit(1)).when((part < 1.0) & (guess > -1022.0), F.lit(-1)).otherwise(F.lit(0))
     fraction = F.when(part >= 2.0, part / 2.0).when((part < 1.0) & (guess > -1022.0), part * 2.0).otherwise(part)
-    bits = F.shiftleft((power + 1022.0).cast("long"), 52) + (fraction * _FRACTION).cast("long")
+    bits = F.shiftleft((guess + 1022.0).cast("long") + more, 52) + (fraction * _FRACTION).cast("long")
     bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size == 0, F.lit(0)).otherwise(bits)
     return F.when(x < 0, -bits).otherwise(bits)
 
 
+def order_keys(df: DataFrame, col: str) -> DataFrame:
+    """:func:`order_key` of every value of ``col`` (NULL and NaN left out) as ``k``.
+
+    The logarithm and the power stand in projections of their own, each used more than
+    once above: the optimizer leaves those apart, so either is worked out once a row.  No
+    filter may follow on ``k``; pushed below, it would work them out again.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    guessed = x.select("x", _guess(F.abs("x")).alias("guess"))
+    parted = guessed.select("x", "guess", (F.abs("x") / F.pow(F.lit(2.0), F.col("guess"))).alias("part"))
+    return parted.select(_bits(F.col("x"), F.col("guess"), F.col("part")).alias("k"))
+
+
 def key_value(key: int) -> float:
     """The number whose :func:`order_key` is ``key``."""
     return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key)
@@ -53,15 +75,15 @@ def order_statistics(df: DataFrame, col: str, rank_of) -> tuple[int, list[float]
 
     Exactly four reads of ``col``; the first counts the values as well.
     """
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    keys = x.select(order_key(F.col("x")).alias("k"))
+    keys = order_keys(df, col)
     n, wanted, prefix = None, [], []
     for shift in SHIFTS:
         digit = F.shiftright("k", shift)
         if prefix:
             digit = digit.bitwiseAND(F.lit((1 << DIGIT) - 1))
             above = F.shiftright("k", shift + DIGIT)
-            cells = keys.where(above.isin(*set(prefix))).groupBy(above.alias("above"), digit.alias("digit"))
+            inside = above.isin(*set(prefix))  # all other rows are one group, of nulls
+            cells = keys.groupBy(F.when(inside, above).alias("above"), F.when(inside, digit).alias("digit"))
         else:
             cells = keys.groupBy(F.lit(0).alias("above"), digit.alias("digit"))
         counts: dict = {}
