@@ -178,16 +178,21 @@ def score_matrix(x: np.ndarray, m: dict) -> np.ndarray:
     """
     n = x.shape[0]
     n_trees = m["feature"].shape[0]
-    xt = np.ascontiguousarray(x.T, dtype=np.float64).ravel()
+    xt = np.ascontiguousarray(x.T, dtype=np.float64)
+    flat = xt.ravel()
     col = np.arange(n, dtype=np.int64)
     total = np.zeros(n, dtype=np.float64)
-    h = np.empty(n, dtype=np.int64)
     for t in range(n_trees):
-        feat_off = m["feature"][t] * n  # offset of each node's feature column in xt
-        thr = m["threshold"][t]
-        h.fill(0)
-        for _ in range(m["depth"]):
-            go_right = xt[feat_off[h] + col] > thr[h]
+        feature, thr = m["feature"][t], m["threshold"][t]
+        h, met = np.zeros(n, dtype=np.int64), 0
+        if m["depth"] >= 2:  # all rows share the root, then one of two nodes: no gathers
+            left, right = (xt[feature[i]] > thr[i] for i in (1, 2))
+            h, met = np.where(xt[feature[0]] > thr[0], right + np.int64(5), left + np.int64(3)), 2
+        feat_off = feature * n  # offset of each node's feature column in flat
+        for _ in range(met, m["depth"]):
+            at = feat_off[h]
+            at += col
+            go_right = flat[at] > thr[h]
             h *= 2
             h += 1
             h += go_right

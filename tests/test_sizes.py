@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark import session, workload
 from ledgerlark.functions import quantile
+from ledgerlark.operators import iforest
 from ledgerlark.plans import skew
 from ledgerlark.sources.standin import standin
 
@@ -92,3 +94,34 @@ def test_quantile_takes_one_logarithm_and_one_power_a_row(spark, tmp_path):
     assert plan.count("LOG2(") == 1 and plan.upper().count("POWER(") == 1
     rows = spark.read.parquet(f"{tmp_path}/x")
     assert sorted(r.k for r in keys.collect()) == sorted(r.k for r in rows.select(quantile.order_key(F.col("x")).alias("k")).collect())
+
+
+def test_started_settings_stay(spark, monkeypatch):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "77")
+        monkeypatch.setattr(type(spark.sparkContext.getConf()), "contains", lambda self, k: k == key)
+        session.size_shuffles(spark, 0)
+        assert spark.conf.get(key) == "77"
+        monkeypatch.undo()
+        session.size_shuffles(spark, 0)
+        assert spark.conf.get(key) == session.SMALL_TASKS[key]
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 8])
+def test_scores_of_trees_of_any_depth(depth):
+    rng = np.random.default_rng(depth)
+    slots = 2 ** (depth + 1) - 1
+    m = {"feature": rng.integers(0, 3, (4, slots)), "threshold": rng.normal(size=(4, slots)), "leaf_value": rng.integers(1, 99, (4, slots)) / 8, "depth": depth, "c_psi": 10.0}
+    x = rng.normal(size=(30, 3))
+    for row, got in zip(x, iforest.score_matrix(x, m), strict=True):
+        paths = 0.0
+        for t in range(4):
+            h = 0
+            for _ in range(depth):
+                h = 2 * h + 1 + int(row[m["feature"][t, h]] > m["threshold"][t, h])
+            paths += m["leaf_value"][t, h]
+        assert got == pytest.approx(-(2.0 ** (-(paths / 4) / 10.0)), rel=1e-14)
