@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark import session, workload
 from ledgerlark.functions import quantile
-from ledgerlark.operators import iforest
+from ledgerlark.operators import anomaly, iforest
 from ledgerlark.plans import skew
 from ledgerlark.sources.standin import standin
 
@@ -125,3 +125,23 @@ def test_scores_of_trees_of_any_depth(depth):
                 h = 2 * h + 1 + int(row[m["feature"][t, h]] > m["threshold"][t, h])
             paths += m["leaf_value"][t, h]
         assert got == pytest.approx(-(2.0 ** (-(paths / 4) / 10.0)), rel=1e-14)
+
+
+def test_products_meet_their_categories_before_the_lines(spark):
+    """No join of the lines looks up a subcategory or category: products do, once each."""
+    day = "timestamp_ntz'2024-01-01 00:00:00'"
+    poh = spark.sql(f"SELECT id AS purchaseorderid, 1L AS vendorid, 4 AS status, {day} AS orderdate, {day} AS shipdate, 9.00BD AS subtotal FROM range(4)")
+    pod = spark.sql("SELECT id AS purchaseorderid, 1 AS purchaseorderdetailid, id AS productid, 2 AS orderqty, cast(3 AS decimal(12,2)) AS unitprice, 1BD AS receivedqty, 0BD AS rejectedqty FROM range(4)")
+    vendor = spark.sql("SELECT 1L AS businessentityid, 'V' AS name, 1 AS creditrating")
+    product = spark.sql("SELECT * FROM VALUES (0L, 'P0', 's', 1BD), (1L, 'P1', NULL, 1BD), (2L, 'P2', 'none', 1BD), (2L, 'again', 't', 1BD) AS t(productid, name, productsubcategoryid, standardcost)")
+    sub = spark.sql("SELECT * FROM VALUES ('s', 'c', 'S'), ('s', 'd', 'S2'), ('t', NULL, 'T'), (NULL, 'c', 'N') AS t(productsubcategoryid, productcategoryid, name)")
+    cat = spark.sql("SELECT * FROM VALUES ('c', 'C'), (NULL, 'N') AS t(productcategoryid, name)")
+    lines = anomaly.po_line_base(poh, pod, vendor, product, sub, cat)
+    got = sorted(map(str, lines.select("productid", "product_name", "subcategory", "category").toDF("a", "b", "c", "d").collect()))
+    assert got == sorted([
+        "Row(a=0, b='P0', c='S', d='C')", "Row(a=0, b='P0', c='S2', d=None)", "Row(a=1, b='P1', c=None, d=None)",
+        "Row(a=2, b='P2', c=None, d=None)", "Row(a=2, b='again', c='T', d=None)",
+    ])
+    plan = lines._jdf.queryExecution().analyzed().toString()
+    assert "Join Inner" in next(row for row in plan.splitlines() if "Join" in row)
+    assert plan.index("Join Inner") < plan.index("Join LeftOuter")
