@@ -9,7 +9,8 @@ bits among those that share the bits found so far, and the counts say in which o
 ranks ``floor((n - 1) q)`` and the next; they are interpolated linearly, as numpy does.
 
 A pass is one aggregate with partial sums before its shuffle, and at most twice 65 536
-counts reach the driver, whatever the input.  NULL and NaN are no values.  The input is
+counts reach the driver, whatever the input.  Passes after the first work out the keys of
+the values between the ends of the cells found, and no others.  NULL and NaN are no values.  The input is
 read four times: pass a spooled or file-backed DataFrame.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 DIGIT = 16
 SHIFTS = (48, 32, 16, 0)
 _FRACTION = float(1 << 52)
+INFINITE = 2047 << 52  # the key of infinity, the largest
 
 
 def order_key(x: Column) -> Column:
@@ -48,7 +50,7 @@ def _bits(x: Column, guess: Column, part: Column) -> Column:
     more = F.when(part >= 2.0, F.lit(1)).when((part < 1.0) & (guess > -1022.0), F.lit(-1)).otherwise(F.lit(0))
     fraction = F.when(part >= 2.0, part / 2.0).when((part < 1.0) & (guess > -1022.0), part * 2.0).otherwise(part)
     bits = F.shiftleft((guess + 1022.0).cast("long") + more, 52) + (fraction * _FRACTION).cast("long")
-    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size == 0, F.lit(0)).otherwise(bits)
+    bits = F.when(size == float("inf"), F.lit(INFINITE)).when(size == 0, F.lit(0)).otherwise(bits)
     return F.when(x < 0, -bits).otherwise(bits)
 
 
@@ -80,6 +82,11 @@ def order_statistics(df: DataFrame, col: str, rank_of) -> tuple[int, list[float]
     for shift in SHIFTS:
         digit = F.shiftright("k", shift)
         if prefix:
+            # only values between the ends of the cells found: their keys alone are worked out
+            low, high = (min(prefix) << (shift + DIGIT)), ((max(prefix) + 1) << (shift + DIGIT)) - 1
+            value = F.col(col).cast("double")
+            near = df.where((value >= key_value(low)) & (value <= key_value(min(high, INFINITE))))
+            keys = order_keys(near, col)
             digit = digit.bitwiseAND(F.lit((1 << DIGIT) - 1))
             above = F.shiftright("k", shift + DIGIT)
             inside = above.isin(*set(prefix))  # all other rows are one group, of nulls

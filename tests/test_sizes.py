@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark import session, workload
-from ledgerlark.functions import quantile
+from ledgerlark.functions import moments, quantile
 from ledgerlark.operators import anomaly, iforest
 from ledgerlark.plans import skew
 from ledgerlark.sources.standin import standin
@@ -145,3 +145,52 @@ def test_products_meet_their_categories_before_the_lines(spark):
     plan = lines._jdf.queryExecution().analyzed().toString()
     assert "Join Inner" in next(row for row in plan.splitlines() if "Join" in row)
     assert plan.index("Join Inner") < plan.index("Join LeftOuter")
+
+
+def _small_groups(spark):
+    """300 lines in groups of one to three, some of them without a vendor or a price."""
+    return spark.range(300).select(
+        F.col("id").alias("purchaseorderid"), F.lit(1).alias("purchaseorderdetailid"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("vendorid"), (F.col("id") % 60).alias("productid"),
+        F.when(F.col("id") % 11 > 0, (F.col("id") * F.col("id") % 97).cast("decimal(12,2)")).alias("unitprice"),
+    )
+
+
+def test_small_groups_take_one_shuffle(spark):
+    """Statistics of small groups come by one shuffle of the rows, without a join, and equal the joined ones."""
+    rows = _small_groups(spark)
+    got = anomaly.group_price_stats(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall(r"Exchange hash", plan)) == 1
+    joined = skew.attach_group_stats(
+        rows, ["vendorid", "productid"], moments.moments(rows, "unitprice"),
+        lambda stats: stats.select("vendorid", "productid", skew.GROUP_ROWS, *anomaly.price_stats(rows)),
+    )
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == joined.dtypes and sorted(map(str, got.collect())) == sorted(map(str, joined.collect()))
+    n = {(r.vendorid, r.productid): r["count"] for r in rows.where("unitprice IS NOT NULL").groupBy("vendorid", "productid").count().collect()}
+    assert all(r.vp_count == n.get((r.vendorid, r.productid), 0) for r in got.collect())
+
+
+def test_large_groups_are_seen(spark, monkeypatch):
+    rows = spark.range(300).select((F.col("id") % 100).alias("k"))
+    assert skew.groups_are_small(rows, ["k"])
+    assert skew.groups_are_small(rows.limit(0), ["k"])
+    assert not skew.groups_are_small(rows.select(F.when(F.col("k") > 40, F.col("k")).alias("k")), ["k"])  # 123 without a key
+    monkeypatch.setattr(skew, "WINDOW_ROWS", 3)
+    assert not skew.groups_are_small(rows, ["k"])
+
+
+def test_later_passes_of_the_quantile_work_out_few_keys(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    made, order_keys = [], quantile.order_keys
+    monkeypatch.setattr(quantile, "order_keys", lambda df, col: made.append(df.count()) or order_keys(df, col))
+    values = [-(2.0 ** (i / 100)) for i in range(-500, 500)]
+    df = spark.createDataFrame([(v,) for v in [*values, nan, None]], "x double")
+    assert quantile.quantile_value(df, "x", 0.03) == pytest.approx(np.quantile(values, 0.03), rel=1e-15)
+    assert made[0] == 1002 and len(made) == 4 and max(made[1:]) < 20
+    odd = [-inf, -inf, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1e308, inf, inf]
+    df = spark.createDataFrame([(v,) for v in [*odd, nan, None]], "x double")
+    for rank in range(10):
+        assert quantile.order_statistics(df, "x", lambda n, rank=rank: [rank]) == (10, [odd[rank]])
+    assert quantile.order_statistics(df, "x", lambda n: [0, 5, 9]) == (10, [-inf, 0.0, inf])
