@@ -156,8 +156,9 @@ def _small_groups(spark):
     )
 
 
-def test_small_groups_take_one_shuffle(spark):
+def test_small_groups_take_one_shuffle(spark, monkeypatch):
     """Statistics of small groups come by one shuffle of the rows, without a join, and equal the joined ones."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 300)
     rows = _small_groups(spark)
     got = anomaly.group_price_stats(rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -174,11 +175,13 @@ def test_small_groups_take_one_shuffle(spark):
 
 def test_large_groups_are_seen(spark, monkeypatch):
     rows = spark.range(300).select((F.col("id") % 100).alias("k"))
+    assert not skew.groups_are_small(rows, ["k"])  # few rows
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     assert skew.groups_are_small(rows, ["k"])
-    assert skew.groups_are_small(rows.limit(0), ["k"])
     assert not skew.groups_are_small(rows.select(F.when(F.col("k") > 40, F.col("k")).alias("k")), ["k"])  # 123 without a key
     monkeypatch.setattr(skew, "WINDOW_ROWS", 3)
     assert not skew.groups_are_small(rows, ["k"])
+    assert not skew.groups_are_small(rows.limit(0), ["k"])
 
 
 def test_later_passes_of_the_quantile_work_out_few_keys(spark, monkeypatch):
