@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import threading
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -38,8 +39,10 @@ CACHE_RUNS = 600_000
 
 #: Characters of text that are split at once.
 GROUP_CHARS = 1 << 18
-#: Latin letters that stand alone in NFC, and punctuation without the apostrophe.
-_LATIN, _SIGNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ".,;:!?"
+#: Latin letters that stand alone in NFC, and ASCII punctuation without the apostrophe.
+_LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: The letters, the signs after them and the rest of a word, for words that end in a line end.
+_PARTS = re.compile(f"([{_LATIN}]*)([{_SIGNS}]*)(.*)\n").findall
 
 #: Seconds for which a Python worker keeps its words after a task, for the next one.
 KEEP_SECONDS = 3.0
@@ -48,56 +51,61 @@ _TOKENIZERS: dict = {}
 _RELEASE: list[threading.Timer] = []
 
 
+class RunIds(dict):
+    """Token ids by run of Latin letters in lower case or of ASCII signs, merged when first asked for."""
+
+    def __init__(self, model):
+        from tokenizers import pre_tokenizers
+
+        super().__init__({"": b""})
+        self.merge = model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.latin = {i: as_bytes(chr(i))[0][0] for i in range(0xC0, 0x100)}
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.merge(run if run.isascii() else run.translate(self.latin))
+        ids = self[run] = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+
 class WordIds:
     """Token ids of texts, remembered by blank-separated word.
 
     For tokenizers of the kind of ``word_bpe_49k.json``: lower case, white space
     separates words and is dropped, letters and other signs are split and merged apart.
-    Blanks and line ends split here.  A word of Latin letters and plain punctuation is
-    its letters in lower case, then its punctuation; those go to the same merges
-    without the full normalizer.  Every other word goes through the whole tokenizer.
+    Blanks and line ends split here.  A word of Latin letters and then ASCII signs is
+    its letters in lower case, then its signs; those go to the tokenizer's merges one by
+    one, without its normalizer and splitter.  Every other word goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.whole.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
         self.known: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        """Ids of runs that the merges take as one word each."""
-        for at in range(0, len(runs), 2048):
-            part = runs[at : at + 2048]
-            got = self.merges.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = (4 * np.append(np.flatnonzero(np.diff(got.word_ids)) + 1, len(got))).tolist()
-            self.runs.update((run, ids[i:j]) for run, i, j in zip(part, [0, *ends], ends, strict=False))
+        self.runs = RunIds(self.whole.model)
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known = {"": b""}
         if len(self.runs) > CACHE_RUNS:
-            self.runs = {"": b""}
-        plain, odd = [], []
+            self.runs = RunIds(self.whole.model)
+        known, runs, mixed, odd = self.known, self.runs, [], []
         for w in words:
-            run = w.rstrip(_SIGNS)
-            if run.isalpha() and run.isascii() or not run or _LATIN(run):
-                low = run.lower()  # most words are so already: one string for both memories
-                plain.append((w, run if low == run else low, w[len(run) :]))
+            if w.isascii() and w.isalpha():
+                low = w.lower()  # most words are so already: one string for both memories
+                known[w] = runs[w if low == w else low]
             else:
+                mixed.append(w)
+        for w, (run, signs, rest) in zip(mixed, _PARTS("\n".join([*mixed, ""])), strict=True):
+            if rest:
                 odd.append(w)
-        runs = {r for _, a, b in plain for r in (a, b)}.difference(self.runs)
-        self._learn_runs(list(runs))
-        ids = self.runs
-        self.known.update((w, ids[a] + ids[b]) for w, a, b in plain)
+            else:
+                known[w] = runs[run.lower()] + runs[signs] if signs else runs[run.lower()]
         for at in range(0, len(odd), 2048):
             got = self.whole.encode_batch_fast(odd[at : at + 2048], add_special_tokens=False)
-            self.known.update(zip(odd[at : at + 2048], (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
+            known.update(zip(odd[at : at + 2048], (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # lower case first, as the normalizer would, where that can't touch anything else

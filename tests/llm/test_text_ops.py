@@ -177,6 +177,32 @@ def test_packing(spark):
     assert len(sequences) == -(-sum(r["length"] for r in got) // 4096)
 
 
+def test_words_with_signs_need_the_merges_alone():
+    """Letters and then ASCII signs have the ids of the whole tokenizer, without being given to it."""
+    from tokenizers import Tokenizer
+
+    whole, rnd = Tokenizer.from_file(WORD_BPE), random.Random(4)
+    signs = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    plain = ["".join(rnd.choice("abtheXÉßøÿ") for _ in range(rnd.randint(0, 9))) + "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 4))) for _ in range(2000)]
+    plain += [*signs, *("x" + s * 3 for s in signs), "herely$$$", "ungß***", "<|", "|>"]
+    odd = ["a<|endoftext|>", "<|startoftext|>b", "don't", "it's.", "'", ".'s", "(835)", "a.b", "x²", "e\u0301..", "=\u0338", "a\x00", "İ!", "ΑΣ.", "x\t,,", "\u00d7\u00f7"]
+    seen = []
+
+    class Whole:
+        model = whole.model
+
+        def encode_batch_fast(self, words, **kw):
+            seen.extend(words)
+            return whole.encode_batch_fast(words, **kw)
+
+    encode = slack_packing.WordIds(WORD_BPE)
+    encode.whole = Whole()
+    texts = [*plain, *odd, " ".join(plain), " ".join(rnd.sample(plain + odd, 300))]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert {w.lower() for w in seen} <= {w.lower() for w in odd}
+
+
 def test_fullest_is_the_best_subset():
     rnd = random.Random(3)
     for _ in range(60):
