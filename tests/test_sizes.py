@@ -1,12 +1,13 @@
 """What grows with the input: shuffle partitions, spooled widths, work of the exact quantile."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark import session, workload
+from ledgerlark import reports, session, workload
 from ledgerlark.functions import moments, quantile
 from ledgerlark.operators import anomaly, iforest
 from ledgerlark.plans import skew
@@ -197,3 +198,57 @@ def test_later_passes_of_the_quantile_work_out_few_keys(spark, monkeypatch):
     for rank in range(10):
         assert quantile.order_statistics(df, "x", lambda n, rank=rank: [rank]) == (10, [odd[rank]])
     assert quantile.order_statistics(df, "x", lambda n: [0, 5, 9]) == (10, [-inf, 0.0, inf])
+
+
+def _tables_of_small_groups(spark):
+    """300 lines of 60 products, 5 each, in 100 orders; some without a price, vendor or known product."""
+    day = "timestamp_ntz'2024-01-01 00:00:00'"
+    return SimpleNamespace(
+        po_key=("purchaseorderid",),
+        purchaseorderheader=spark.sql(f"SELECT id AS purchaseorderid, if(id = 9, NULL, id % 7) AS vendorid, 4 AS status, {day} AS orderdate, {day} AS shipdate, 90.00BD AS subtotal FROM range(100)"),
+        purchaseorderdetail=spark.sql(
+            "SELECT id % 100 AS purchaseorderid, cast(id / 100 AS int) AS purchaseorderdetailid, if(id = 11, NULL, id % 60) AS productid, cast(id % 4 AS int) AS orderqty,"
+            " if(id % 13 = 5, NULL, cast(id * id % 97 AS decimal(12,2))) AS unitprice, 1BD AS receivedqty, 0BD AS rejectedqty FROM range(300)"
+        ),
+        vendor=spark.sql("SELECT id AS businessentityid, concat('V', id) AS name, 1 AS creditrating FROM range(6)"),
+        product=spark.sql("SELECT id AS productid, 'P' AS name, 's' AS productsubcategoryid, 1BD AS standardcost FROM range(58) UNION ALL SELECT 3L, 'again', 's', 2BD"),
+        productsubcategory=spark.sql("SELECT 's' AS productsubcategoryid, 'c' AS productcategoryid, 'S' AS name"),
+        productcategory=spark.sql("SELECT 'c' AS productcategoryid, 'C' AS name"),
+    )
+
+
+def test_lines_of_small_products_are_shuffled_to_them_once(spark, monkeypatch):
+    """Where no product has many lines, the shuffle to the products serves their statistics; nothing is spooled for them."""
+    t, spooled, spool = _tables_of_small_groups(spark), [], skew.spool
+    monkeypatch.setattr(skew, "spool", lambda df, name: spooled.append(name) or spool(df, name))
+    flags = [t.purchaseorderheader, t.purchaseorderdetail, t.vendor, t.product, t.productsubcategory, t.productcategory, t.po_key]
+
+    def results():
+        rows = reports.featured_lines(t), anomaly.price_deviation_flags(*flags)
+        return [df.dtypes for df in rows], [sorted(map(str, df.collect())) for df in rows], [r.paid_unit_price for r in rows[1].collect()]
+
+    joined = results()
+    assert spooled.count("rows") == 2  # few lines: as before
+    spooled.clear()
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 300)
+    assert results() == joined and len(joined[1][0]) > 200 and not spooled
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reports.featured_lines(t)._jdf.queryExecution().executedPlan().toString()
+        flagged = anomaly.price_deviation_flags(*flags)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Window" in above and "Exchange" not in above
+    assert "spool-flags" in flagged and "Window" not in flagged  # the sort reads its input twice
+
+
+def test_many_lines_of_a_product_are_spooled(spark, monkeypatch):
+    t, spooled, spool = _tables_of_small_groups(spark), [], skew.spool
+    monkeypatch.setattr(skew, "spool", lambda df, name: spooled.append(name) or spool(df, name))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    hot = t.purchaseorderdetail.withColumn("productid", F.when(F.col("productid") < 30, F.lit(1)).otherwise(F.col("productid")))
+    assert anomaly.few_lines_a_product(t.purchaseorderdetail) and not anomaly.few_lines_a_product(hot)
+    t.purchaseorderdetail = hot
+    assert reports.featured_lines(t).where("productid = 1").count() > 100 and "rows" in spooled
